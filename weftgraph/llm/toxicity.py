@@ -11,7 +11,7 @@ documents hold it in many different contexts: copies of one labelled document sh
 Only a span that the channel can make from a lexicon word can change a score, so lattices are
 built for those spans alone. They are found exactly: letters that share a look-alike form one
 class, separators are dropped, runs collapsed, and an automaton of the lexicon in that alphabet
-reads the whole text. The lattice then decides: 'lo ser' stays two words, 'l 0 s e r' is restored.
+reads the whole text. The lattice then decides: 'los er' stays two words, 'l 0 s e r' is restored.
 
 Edge cases: null and empty texts score the base rate without hits; labels that are null or have no
 document teach nothing; with no lexicon nothing is toxic; repeated rows are scored each by itself;
@@ -35,14 +35,16 @@ from .common import chunks, class_table, code_points, grams
 from .quality import labelled_sample
 
 WIDTH = 27
-MAX_TRAIN = 8000
+MAX_TRAIN = 16000
 MIN_WEIGHT = 3.0
 MIN_CONTEXTS = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.95
 LEET = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "6": "g", "9": "g", "(": "c", "<": "c", "€": "e", "£": "l", "2": "z"}
-#: Channel costs in nats: a look-alike, a repeated letter, and a separator dropped between two
-#: single letters, beside one, or inside a word (white space, other signs).
-C_LEET, C_REPEAT, C_SINGLE, C_BESIDE, C_SPACE, C_SIGN = 1.0, 0.7, 0.3, 3.0, 7.0, 2.0
+#: Channel costs in nats: a look-alike, the first and each further repetition of a letter, a separator
+#: dropped between two single letters or beside one, white space or another sign dropped elsewhere.
+C_LEET, C_REPEAT, C_AGAIN, C_SINGLE, C_BESIDE, C_SPACE, C_SIGN = 1.0, 6.0, 0.3, 0.3, 3.0, 8.0, 2.0
+#: Keeping one separator of spelled-out letters as a boundary: such spelling drops all or none.
+C_KEEP = 3.0
 SCHEMA = "doc_id bigint, toxicity double, n_hits int, n_restored int, toxic boolean, keep boolean"
 
 
@@ -102,51 +104,49 @@ def char_model(counts: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def _spacing(text: str, i: int) -> float:
-    """Cost of dropping the separator at i, by the fragments beside it."""
+def _spacing(text: str, i: int) -> tuple[float, float]:
+    """Costs of dropping and of keeping the separator at i, by the fragments beside it."""
 
     def solid(k: int) -> bool:
         return 0 <= k < len(text) and (text[k] in LEET or bool(_fold(text[k])))
 
-    left = i - 1
-    while left >= 0 and not solid(left):
-        left -= 1
-    right = i + 1
-    while right < len(text) and not solid(right):
-        right += 1
-    singles = (left >= 0 and not solid(left - 1)) + (right < len(text) and not solid(right + 1))
-    return C_SINGLE if singles == 2 else C_BESIDE if singles else C_SPACE if text[i].isspace() else C_SIGN
+    if not (solid(i - 1) and solid(i + 1)):  # a gap of several signs, or the edge
+        return (C_SPACE if text[i].isspace() else C_SIGN), 0.0
+    singles = (not solid(i - 2)) + (not solid(i + 2))
+    if singles == 2:
+        return C_SINGLE, C_KEEP
+    return C_BESIDE if singles else C_SPACE if text[i].isspace() else C_SIGN, 0.0
 
 
 def decode(text: str, model: np.ndarray) -> str:
     """The most likely reading of text: words of a-z, one space between them."""
-    # hypotheses by the last three classes: (cost, output as a linked list)
-    beam: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
+    # hypotheses by the last three classes and whether a repetition was dropped last: (cost, output)
+    beam: dict[tuple[int, int, int, bool], tuple[float, tuple | None]] = {(0, 0, 0, False): (0.0, None)}
     for i, ch in enumerate(text):
         letter = _fold(ch)
         emits = [(ord(letter) - 96, 0.0)] if letter else [(ord(x) - 96, C_LEET) for x in LEET.get(ch, "")]
-        drop = None if letter else C_LEET if emits else _spacing(text, i)
-        new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+        drop, keep = (0.0, 0.0) if emits else _spacing(text, i)
+        new: dict[tuple[int, int, int, bool], tuple[float, tuple | None]] = {}
 
         def reach(key: tuple, cost: float, out: tuple | None, new: dict = new) -> None:
             if key not in new or cost < new[key][0]:
                 new[key] = cost, out
 
-        for (a, b, c), (cost, out) in beam.items():
+        for (a, b, c, again), (cost, out) in beam.items():
             for x, price in emits:
-                reach((b, c, x) if c else (0, 0, x), cost + price - float(model[a, b, c, x]), (x, out))
+                reach((b, c, x, False) if c else (0, 0, x, False), cost + price - float(model[a, b, c, x]), (x, out))
                 if c == x:
-                    reach((a, b, c), cost + C_REPEAT, out)
+                    reach((a, b, c, True), cost + (C_AGAIN if again else C_REPEAT), out)
             if not letter:  # a boundary; more of them cost nothing
                 if c:
-                    reach((0, 0, 0), cost - float(model[a, b, c, 0]), (0, out))
+                    reach((0, 0, 0, False), cost + keep - float(model[a, b, c, 0]), (0, out))
                     if not emits:
-                        reach((a, b, c), cost + drop, out)
+                        reach((a, b, c, again), cost + drop, out)
                 else:
-                    reach((0, 0, 0), cost, out)
+                    reach((0, 0, 0, False), cost, out)
         beam = new
     # a word that is still open pays for its end
-    out = min(((cost - float(model[key + (0,)]) if key[2] else cost, tail) for key, (cost, tail) in beam.items()), key=lambda x: x[0])[1]
+    out = min(((cost - float(model[key[:3] + (0,)]) if key[2] else cost, tail) for key, (cost, tail) in beam.items()), key=lambda x: x[0])[1]
     said = []
     while out:
         said.append(" " if out[0] == 0 else chr(96 + out[0]))
