@@ -11,7 +11,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round moves labels over one edge and then halves the paths to the smallest label; rounds
     are cut off by checkpoints on shared storage and end when no label changes."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
+    # both directions of an edge come from one pass over what made it
+    both = edges.where("a <> b").select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")).checkpoint()
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
