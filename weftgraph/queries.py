@@ -1,11 +1,624 @@
-"""Registered queries of the graph engine."""
+"""Registered queries of the graph engine over the test tables, and their DuckDB SQL.
+
+Two graphs serve most of them. The entity graph has the relational tables as nodes and their keys as
+edges. The link graph has pages as documents and what they link to as resources."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import analyze, build, extract, facts, history, search
+from .plans import artifacts as art
+from .sources import items as sources
+
+STAMP = "2024-01-01T00:00:00.000Z"
+Tables = tuple[DataFrame, DataFrame]
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _id(prefix: str, key: str) -> Column:
+    return F.concat(F.lit(prefix + ":"), F.col(key).cast("string"))
+
+
+def raw_entities(spark: SparkSession, sf: str) -> Tables:
+    """Raw node and edge tables: tag nodes repeat for each order, line items repeat their edges."""
+    t = {n: _read(spark, sf, n) for n in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+    none = F.lit(None).cast("string")
+
+    def nodes(df: DataFrame, rank: int, key: str, id_: Column, label: Column, kind: str, item: Column, path: Column = none, hash_: Column = none) -> DataFrame:
+        return df.select(build.ord_of(F.lit(rank), F.col(key)).alias("ord"), id_.alias("id"), label.alias("label"), F.lit(kind).alias("type"), item.alias("source_item_id"), path.alias("path"), hash_.alias("hash"))
+
+    def edges(df: DataFrame, rank: int, pos: Column, a: Column, b: Column, relation: str, confidence: Column, score: Column, item: Column) -> DataFrame:
+        return df.select(build.ord_of(F.lit(rank), pos).alias("ord"), a.alias("source"), b.alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"), score.cast("double").alias("confidence_score"), item.alias("source_item_id"), F.lit("key").alias("context"))
+
+    tag = F.concat(F.lit("tag:"), X.slugify(F.col("o_orderpriority")))
+    found = [
+        nodes(t["region"], 1, "r_regionkey", _id("region", "r_regionkey"), F.col("r_name"), "document", F.lit("region"), F.concat(F.lit("geo/"), F.lower("r_name"), F.lit(".md")), F.md5(F.col("r_name").cast("binary"))),
+        nodes(t["nation"], 2, "n_nationkey", _id("nation", "n_nationkey"), F.col("n_name"), "class", F.lit("nation"), F.lit("geo/nation.ts")),
+        nodes(t["customer"], 3, "c_custkey", _id("customer", "c_custkey"), F.col("c_name"), "function", _id("customers", "c_nationkey"), hash_=F.md5(F.col("c_name").cast("binary"))),
+        nodes(t["supplier"], 4, "s_suppkey", _id("supplier", "s_suppkey"), F.col("s_name"), "interface", _id("suppliers", "s_nationkey")),
+        nodes(t["customer"], 5, "c_custkey", _id("segment", "c_custkey"), F.col("c_mktsegment"), "symbol", _id("customers", "c_nationkey")),
+        nodes(t["orders"], 6, "o_orderkey", _id("order", "o_orderkey"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), "chunk", _id("orders", "o_custkey"), hash_=F.col("o_orderstatus")),
+        nodes(t["orders"], 7, "o_orderkey", tag, F.col("o_orderpriority"), "tag", _id("orders", "o_custkey")),
+    ]
+    yes = F.lit("EXTRACTED")
+    first = F.col("o_orderpriority").startswith("1")
+    links = [
+        edges(t["nation"], 1, F.col("n_nationkey"), _id("nation", "n_nationkey"), _id("region", "n_regionkey"), "in_region", yes, F.lit(1.0), F.lit("nation")),
+        edges(t["customer"], 2, F.col("c_custkey"), _id("customer", "c_custkey"), _id("nation", "c_nationkey"), "in_nation", yes, F.lit(None), _id("customers", "c_nationkey")),
+        edges(t["supplier"], 3, F.col("s_suppkey"), _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), "references", F.lit("INFERRED"), F.lit(0.6), _id("suppliers", "s_nationkey")),
+        edges(t["customer"], 4, F.col("c_custkey"), _id("customer", "c_custkey"), _id("segment", "c_custkey"), "contains", yes, F.lit(1.0), _id("customers", "c_nationkey")),
+        edges(t["orders"], 5, F.col("o_orderkey"), _id("order", "o_orderkey"), _id("customer", "o_custkey"), "placed_by", F.when(first, "AMBIGUOUS").otherwise("EXTRACTED"), F.when(first, 0.3).otherwise(0.9), _id("orders", "o_custkey")),
+        edges(t["orders"], 6, F.col("o_orderkey"), _id("order", "o_orderkey"), tag, "tagged_with", yes, F.lit(None), _id("orders", "o_custkey")),
+        edges(t["lineitem"], 7, F.col("l_orderkey") * 8 + F.col("l_linenumber"), _id("supplier", "l_suppkey"), _id("order", "l_orderkey"), "supplies", yes, F.lit(0.5), F.lit(None).cast("string")),
+    ]
+    n, e = found[0], links[0]
+    for x in found[1:]:
+        n = n.unionByName(x)
+    for x in links[1:]:
+        e = e.unionByName(x)
+    return n, e
+
+
+def entities(spark: SparkSession, sf: str) -> Tables:
+    return build.build(*raw_entities(spark, sf))
+
+
+_ENTITY_SQL = r"""
+rn AS (
+  SELECT 1000000000000 + r_regionkey AS o, 'region:' || r_regionkey AS id, r_name AS label, 'document' AS type, 'region' AS item, 'geo/' || lower(r_name) || '.md' AS path, md5(r_name) AS hash FROM region
+  UNION ALL SELECT 2000000000000 + n_nationkey, 'nation:' || n_nationkey, n_name, 'class', 'nation', 'geo/nation.ts', NULL FROM nation
+  UNION ALL SELECT 3000000000000 + c_custkey, 'customer:' || c_custkey, c_name, 'function', 'customers:' || c_nationkey, NULL, md5(c_name) FROM customer
+  UNION ALL SELECT 4000000000000 + s_suppkey, 'supplier:' || s_suppkey, s_name, 'interface', 'suppliers:' || s_nationkey, NULL, NULL FROM supplier
+  UNION ALL SELECT 5000000000000 + c_custkey, 'segment:' || c_custkey, c_mktsegment, 'symbol', 'customers:' || c_nationkey, NULL, NULL FROM customer
+  UNION ALL SELECT 6000000000000 + o_orderkey, 'order:' || o_orderkey, 'Order ' || o_orderkey, 'chunk', 'orders:' || o_custkey, NULL, o_orderstatus FROM orders
+  UNION ALL SELECT 7000000000000 + o_orderkey, 'tag:' || replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), o_orderpriority, 'tag', 'orders:' || o_custkey, NULL, NULL FROM orders),
+re AS (
+  SELECT 1000000000000 + n_nationkey AS o, 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'in_region' AS relation, 'EXTRACTED' AS confidence, 1.0::DOUBLE AS score, 'nation' AS item FROM nation
+  UNION ALL SELECT 2000000000000 + c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'in_nation', 'EXTRACTED', NULL, 'customers:' || c_nationkey FROM customer
+  UNION ALL SELECT 3000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'references', 'INFERRED', 0.6, 'suppliers:' || s_nationkey FROM supplier
+  UNION ALL SELECT 4000000000000 + c_custkey, 'customer:' || c_custkey, 'segment:' || c_custkey, 'contains', 'EXTRACTED', 1.0, 'customers:' || c_nationkey FROM customer
+  UNION ALL SELECT 5000000000000 + o_orderkey, 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by', CASE WHEN o_orderpriority LIKE '1%' THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END, CASE WHEN o_orderpriority LIKE '1%' THEN 0.3 ELSE 0.9 END, 'orders:' || o_custkey FROM orders
+  UNION ALL SELECT 6000000000000 + o_orderkey, 'order:' || o_orderkey, 'tag:' || replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 'tagged_with', 'EXTRACTED', NULL, 'orders:' || o_custkey FROM orders
+  UNION ALL SELECT 7000000000000 + l_orderkey * 8 + l_linenumber, 'supplier:' || l_suppkey, 'order:' || l_orderkey, 'supplies', 'EXTRACTED', 0.5, NULL FROM lineitem),
+"""
+_BUILD_SQL = r"""
+nn AS (SELECT id, min(o) AS o, arg_max({'label': label, 'type': type, 'item': item, 'path': path, 'hash': hash}, o) AS p FROM rn GROUP BY id),
+n AS MATERIALIZED (SELECT id, o, substr(regexp_replace(regexp_replace(p.label, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 256) AS label, trim(regexp_replace(lower(strip_accents(p.label)), '[^a-z0-9]+', ' ', 'g')) AS norm, p.type AS type, p.item AS item, p.path AS path, p.hash AS hash FROM nn),
+ee AS (SELECT source, target, relation, arg_min({'o': o, 'confidence': confidence, 'score': score, 'item': item}, o) AS p FROM re WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) GROUP BY source, target, relation, coalesce(item, '')),
+e AS MATERIALIZED (SELECT p.o AS o, source, target, relation, p.confidence AS confidence, p.score AS score, p.item AS item FROM ee),
+"""
+_GRAPH = "WITH RECURSIVE " + _ENTITY_SQL + _BUILD_SQL
+_DEGREE = "dg AS (SELECT n.*, coalesce(d, 0) AS degree FROM n LEFT JOIN (SELECT id, count(*) AS d FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id) USING (id)),"
+_BOTH = "a AS MATERIALIZED (SELECT source AS x, target AS y FROM e UNION ALL SELECT target, source FROM e),"
+_COMPONENTS = _BOTH + """
+cc(id, c) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT a.y, min(cc.c) FROM cc JOIN a ON a.x = cc.id JOIN recurring.cc k ON k.id = a.y WHERE cc.c < k.c GROUP BY a.y)),"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+# -- scalar functions --
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS normalized,
+  coalesce(nullif(replace(trim(regexp_replace(lower(strip_accents(source || ' ' || lang)), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), ''), 'section') AS slug FROM documents""")
+def normalize_label(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", F.md5(X.normalize_label(F.col("text")).cast("binary")).alias("normalized"), X.slugify(F.concat_ws(" ", "source", "lang")).alias("slug"))
+
+
+@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 256) AS label FROM documents""")
+def sanitize_label(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", X.sanitize_label(F.col("text")).alias("label"))
+
+
+@query(r"""WITH p AS (SELECT page_id, url AS path, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages)
+SELECT page_id, lower(regexp_extract(last, '(\.[^.]*)$', 1)) AS extension, nullif(regexp_extract(path, '([^/]+)/*$', 1), '') AS base,
+  CASE WHEN contains(last, '.') THEN regexp_replace(path, '\.[^./]*$', '') || regexp_replace(last, '\.[^.]*$', '') ELSE path END AS bare, regexp_replace(path, '\.[^./]*$', '') AS bare_fixed FROM p""")
+def path_functions(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("url")
+    return _read(spark, sf, "pages").select("page_id", X.extension_of(u).alias("extension"), X.basename(u).alias("base"), X.without_extension(u).alias("bare"), X.without_extension(u, fix=True).alias("bare_fixed"))
+
+
+@query(r"""SELECT doc_id, regexp_extract_all('#' || source || ' #' || lang || chr(10) || text, '(^|\s)#([\p{L}\p{N}_-]+)', 2) AS tags FROM documents""")
+def inline_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", X.inline_tags(F.concat(F.lit("#"), "source", F.lit(" #"), "lang", F.lit("\n"), "text")).alias("tags"))
+
+
+# -- sources --
+
+
+@query("""SELECT 'page:' || page_id AS id, replace(url, '\\', '/') AS path, 'text' AS source_type, 'memory' AS provider, replace(url, '\\', '/') AS logical_path, page_id AS item_seq FROM pages""")
+def item_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages").select(_id("page", "page_id").alias("id"), F.col("html").alias("text"), F.col("url").alias("path"), "page_id")
+    return sources.normalize(pages, "page_id").select("id", "path", "source_type", F.col("storage_ref.provider").alias("provider"), F.col("storage_ref.logical_path").alias("logical_path"), "item_seq")
+
+
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang = 'en' GROUP BY source")
+def permission_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return sources.permitted(_read(spark, sf, "documents"), F.col("lang") == "en").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT 'order:' || o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') > '1998-01-01'")
+def changed_items(spark: SparkSession, sf: str) -> DataFrame:
+    class Feed(sources.TableProvider):
+        def read(self, spark: SparkSession) -> DataFrame:
+            return spark.read.parquet(self.path).select(_id("order", "o_orderkey").alias("id"), F.col("o_orderstatus").alias("text"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
+
+    return sources.changed_items(spark, Feed(f"{sf}/orders.parquet", {}), "1998-01-01").select("id", "updated_at")
+
+
+@query("""SELECT page_id AS id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g') AS text FROM pages""")
+def converted_records(spark: SparkSession, sf: str) -> DataFrame:
+    records = _read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("input"))
+    return sources.converted(records, F.regexp_replace(F.regexp_replace("input", "<[^>]*>", " "), "\\s+", " "))
+
+
+# -- facts --
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    c = _read(spark, sf, "conversations").withColumn("item_seq", F.col("conv_id") * 1000 + F.col("turn"))
+    f = c.select(F.concat_ws(":", F.lit("c"), "conv_id", "turn").alias("id"), F.col("role").alias("scope"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("key"), F.concat(F.col("text"), F.lit(" see https://example.org/conv/"), F.col("conv_id").cast("string"), F.lit(" of 2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0"), F.lit(", /workspace/notes/"), F.col("turn").cast("string"), F.lit(".md")).alias("value"), F.array("role", F.upper("role"), F.lit(" talk ")).alias("tags"), F.when(F.col("role") == "user", "question").alias("fact_kind"))
+    return facts.fact_items(f).join(c.select(F.concat_ws(":", F.lit("c"), "conv_id", "turn").alias("id"), "item_seq"), "id")
+
+
+_FACT_SQL = r"""
+f AS (SELECT 'c:' || conv_id || ':' || turn AS id, conv_id * 1000 + turn AS seq, role, 'Turn ' || turn AS key,
+  substr(regexp_replace(regexp_replace(text || ' see https://example.org/conv/' || conv_id || ' of 2024-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') || ', /workspace/notes/' || turn || '.md', '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 2000) AS value,
+  list_distinct([lower(role), 'talk']) AS tags, CASE WHEN role = 'user' THEN 'question' ELSE 'semantic' END AS kind FROM conversations),
+g AS (SELECT *, key || chr(10) || value AS t FROM f),
+refs AS (
+  SELECT id, 'email' AS type, 'mentions' AS relation, unnest(regexp_extract_all(t, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}')) AS label FROM g
+  UNION ALL SELECT id, 'resource', 'links_to', unnest(regexp_extract_all(t, '(?i)https?://[^\s)\]}]+')) FROM g
+  UNION ALL SELECT id, 'date', 'mentions_date', unnest(regexp_extract_all(t, '\b\d{4}-\d{2}-\d{2}\b')) FROM g
+  UNION ALL SELECT id, 'file_ref', 'references_file', unnest(regexp_extract_all(t, '/(?:workspace|organization)/[^\s)\]}]+')) FROM g
+  UNION ALL SELECT id, 'repository', 'references_repository', unnest(list_filter(regexp_extract_all(t, '\b[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\b'), lambda x: NOT contains(x, '//'))) FROM g),
+slugged AS (SELECT *, type || ':' || coalesce(nullif(replace(trim(regexp_replace(lower(strip_accents(label)), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), ''), 'section') AS node FROM refs)
+"""
+
+
+@query("WITH " + _FACT_SQL + "SELECT id, type, relation, label FROM refs")
+def fact_entities(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _facts(spark, sf).select("id", F.from_json("metadata", "key string, value string").alias("m"))
+    text = F.concat_ws("\n", X.sanitize_label(F.col("m.key")), X.sanitize_label(F.col("m.value"), 2000))
+    return refs.select("id", F.explode(facts.entity_refs(text)).alias("r")).select("id", "r.type", "r.relation", "r.label")
+
+
+@query("WITH " + _FACT_SQL + """
+SELECT DISTINCT 'fact:' || id AS id, 'memory_fact' AS type FROM f UNION SELECT 'fact_kind:' || kind, 'fact_kind' FROM f
+UNION SELECT 'tag:' || unnest(tags), 'tag' FROM f UNION SELECT node, type FROM slugged""")
+def fact_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return build.build(*build.raw_tables(facts.extract_facts(_facts(spark, sf))))[0].select("id", "type")
+
+
+@query("WITH " + _FACT_SQL + """
+SELECT DISTINCT 'fact:' || id AS source, 'fact_kind:' || kind AS target, 'classified_as' AS relation FROM f
+UNION SELECT 'fact:' || id, 'tag:' || unnest(tags), 'tagged_with' FROM f UNION SELECT 'fact:' || id, node, relation FROM slugged""")
+def fact_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return build.build(*build.raw_tables(facts.extract_facts(_facts(spark, sf))))[1].select("source", "target", "relation")
+
+
+# -- the link graph --
+
+
+def _pages(spark: SparkSession, sf: str) -> Tables:
+    p = _read(spark, sf, "pages").withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1)).withColumn("doc", _id("doc:page", "page_id"))
+    item = _id("page", "page_id")
+    docs = p.select(build.ord_of(F.col("page_id"), F.lit(0)).alias("ord"), F.col("doc").alias("id"), F.col("title").alias("label"), F.lit("document").alias("type"), item.alias("source_item_id"), F.col("url").alias("source_url"), F.concat(F.lit("pages/"), F.regexp_extract("title", "^(\\S*)", 1)).alias("path"), F.lit(None).cast("string").alias("href"))
+    hrefs = p.select("page_id", "doc", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("k", "raw")).withColumn("href", X.sanitize_label(F.col("raw"))).where("href <> ''")
+    node = F.concat(F.lit("resource:"), X.slugify(F.col("href")))
+    place = build.ord_of(F.col("page_id"), F.col("k") + 1).alias("ord")
+    found = hrefs.select(place, node.alias("id"), F.col("href").alias("label"), F.lit("resource").alias("type"), item.alias("source_item_id"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("string").alias("path"), "href")
+    links = hrefs.select(place, F.col("doc").alias("source"), node.alias("target"), F.lit("links_to").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(None).cast("double").alias("confidence_score"), item.alias("source_item_id"), F.lit("markdown_link").alias("context"))
+    return docs.unionByName(found), links
+
+
+def _bare(x: str) -> str:
+    last = f"regexp_extract({x}, '([^/]*)$', 1)"
+    return rf"CASE WHEN contains({last}, '.') THEN regexp_replace({x}, '\.[^./]*$', '') || regexp_replace({last}, '\.[^.]*$', '') ELSE {x} END"
+
+
+def _slug(x: str) -> str:
+    return f"replace(trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g')), ' ', '-')"
+
+
+_LINK_SQL = rf"""
+p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'doc:page:' || page_id AS doc, html FROM pages),
+h0 AS (SELECT page_id, doc, unnest(x) AS raw, unnest(range(len(x))) AS k FROM (SELECT page_id, doc, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM p)),
+h AS (SELECT page_id, doc, k, substr(regexp_replace(regexp_replace(raw, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 256) AS href FROM h0),
+l AS (SELECT page_id * 100000 + k + 1 AS o, page_id, doc, href, 'resource:' || coalesce(nullif({_slug('href')}, ''), 'section') AS node FROM h WHERE href <> ''),
+r AS (SELECT node, arg_max(href, o) AS href FROM l GROUP BY node),
+al0 AS (SELECT page_id, doc, unnest([doc, 'pages/' || first, {_bare("('pages/' || first)")}, first, {_bare("first")}, url]) AS name, unnest(range(6)) AS k FROM (SELECT page_id, doc, url, regexp_extract(title, '^(\S*)', 1) AS first FROM p)),
+al AS (SELECT {_slug("replace(name, chr(92), '/')")} AS alias, arg_max(doc, page_id * 10 + k) AS to_doc FROM al0 WHERE name IS NOT NULL GROUP BY alias),
+i AS (SELECT DISTINCT l.doc AS source, al.to_doc AS target, 'page:' || l.page_id AS item FROM l JOIN r ON r.node = l.node JOIN al ON al.alias = {_slug("replace(r.href, chr(92), '/')")} WHERE al.to_doc <> l.doc)
+"""
+
+
+@query("WITH " + _LINK_SQL + "SELECT DISTINCT doc AS source, node AS target, 'links_to' AS relation, 'EXTRACTED' AS confidence FROM l UNION ALL SELECT source, target, 'references', 'INFERRED' FROM i")
+def page_links_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return build.build(*_pages(spark, sf))[1].select("source", "target", "relation", "confidence")
+
+
+@query("WITH " + _LINK_SQL + "SELECT source, target, item AS source_item_id, 0.9::DOUBLE AS confidence_score FROM i")
+def inferred_references(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = build.build(*_pages(spark, sf))
+    return build.with_inferred_references(nodes, edges).where(build.is_inferred_reference()).select("source", "target", "source_item_id", "confidence_score")
+
+
+@query("WITH " + _LINK_SQL + "SELECT alias, to_doc AS doc_id FROM al")
+def alias_map(spark: SparkSession, sf: str) -> DataFrame:
+    return build.alias_map(build.build(*_pages(spark, sf))[0])
+
+
+# -- building --
+
+
+@query(_GRAPH + "z AS (SELECT 1) SELECT id, label, norm AS normalized_label, type, item AS source_item_id, path, hash FROM n")
+def entity_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return entities(spark, sf)[0].select("id", "label", "normalized_label", "type", "source_item_id", "path", "hash")
+
+
+@query(_GRAPH + "z AS (SELECT 1) SELECT source, target, relation, confidence, score AS confidence_score, item AS source_item_id FROM e")
+def entity_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return entities(spark, sf)[1].select("source", "target", "relation", "confidence", "confidence_score", "source_item_id")
+
+
+@query("WITH " + _ENTITY_SQL + "z AS (SELECT 1) SELECT source, target, relation, min(o) % 1000000000000 AS pos, count(*) AS copies FROM re GROUP BY source, target, relation, coalesce(item, '')")
+def edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    raw = raw_entities(spark, sf)[1]
+    copies = raw.groupBy("source", "target", "relation", F.coalesce("source_item_id", F.lit("")).alias("k")).agg(F.count("*").alias("copies"))
+    first = build.dedupe_edges(raw).withColumn("k", F.coalesce("source_item_id", F.lit("")))
+    return first.join(copies, ["source", "target", "relation", "k"]).select("source", "target", "relation", F.col("ord.pos").alias("pos"), "copies")
+
+
+@query("WITH " + _ENTITY_SQL + "z AS (SELECT 1) SELECT id, arg_max(label, o) AS label, arg_max(item, o) AS source_item_id, min(o) % 1000000000000 AS pos FROM rn GROUP BY id")
+def node_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return build.dedupe_nodes(raw_entities(spark, sf)[0]).select("id", "label", "source_item_id", F.col("ord.pos").alias("pos"))
+
+
+@query(_GRAPH + "z AS (SELECT 1) SELECT (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count, (SELECT count(DISTINCT nullif(item, '')) FROM n) AS source_count")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return build.stats(*entities(spark, sf))
+
+
+@query(_GRAPH + """m AS (SELECT id FROM n WHERE type NOT IN ('tag', 'document'))
+SELECT 'Edge source ''' || source || ''' does not match any node.' AS message FROM e WHERE source NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'Edge target ''' || target || ''' does not match any node.' FROM e WHERE target NOT IN (SELECT id FROM m)""")
+def validate_graph(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = entities(spark, sf)
+    return build.validate(nodes.where("type not in ('tag', 'document')"), edges)
+
+
+@query(_GRAPH + """
+k AS (SELECT norm, type, arg_min(id, o) AS canonical, list(id ORDER BY o) AS ids FROM n WHERE type IN ('function', 'class', 'interface', 'type', 'enum', 'method', 'symbol') GROUP BY norm, type HAVING count(DISTINCT nullif(item, '')) > 1 AND count(*) > 1),
+m AS (SELECT canonical, unnest(ids) AS old FROM k)
+SELECT n.id, n.type, array_to_string(k.ids, ',') AS merged_from FROM n LEFT JOIN k ON k.canonical = n.id WHERE n.id NOT IN (SELECT old FROM m WHERE old <> canonical)""")
+def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return build.resolve_entities(*entities(spark, sf))[0].select("id", "type", F.array_join("merged_from", ",").alias("merged_from"))
+
+
+@query(_GRAPH + """
+k AS (SELECT norm, type, arg_min(id, o) AS canonical, list(id ORDER BY o) AS ids FROM n WHERE type IN ('function', 'class', 'interface', 'type', 'enum', 'method', 'symbol') GROUP BY norm, type HAVING count(DISTINCT nullif(item, '')) > 1 AND count(*) > 1),
+m AS (SELECT canonical, unnest(ids) AS old FROM k),
+x AS (SELECT coalesce(a.canonical, source) AS source, coalesce(b.canonical, target) AS target, relation, item FROM e LEFT JOIN m a ON a.old = source LEFT JOIN m b ON b.old = target)
+SELECT DISTINCT source, target, relation, item AS source_item_id FROM x WHERE source <> target""")
+def resolve_entities_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return build.resolve_entities(*entities(spark, sf))[1].select("source", "target", "relation", "source_item_id")
+
+
+def _fragment(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    part, customer = _read(spark, sf, "part"), _read(spark, sf, "customer")
+    place = build.ord_of(F.lit(0), F.col("p_partkey"), 1)
+    nodes = part.select(place.alias("ord"), F.concat(F.lit("concept:"), F.lower("p_type")).alias("id"), F.col("p_type").alias("label"), F.lit("concept").alias("type"))
+    edges = customer.select(build.ord_of(F.lit(1), F.col("c_custkey"), 1).alias("ord"), _id("customer", "c_custkey").alias("source"), F.when(F.col("c_custkey") % 3 == 0, F.lit("concept:missing")).otherwise(F.lit("concept:economy")).alias("target"), F.lit("likes").alias("relation"), F.lit("INFERRED").alias("confidence"))
+    hyper = customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(_id("customer", "c_custkey"))).alias("nodes")).select(F.col("c_nationkey").cast("bigint").alias("ord"), _id("hyper", "c_nationkey").alias("id"), F.lit("Customers of one nation").alias("label"), F.concat("nodes", F.array(F.lit("nobody"))).alias("nodes"), F.lit(None).cast("string").alias("metadata"))
+    return nodes, edges, hyper
+
+
+@query(_GRAPH + """
+fe AS (SELECT 'customer:' || c_custkey AS source, 'concept:economy' AS target FROM customer WHERE c_custkey % 3 <> 0 AND EXISTS (SELECT 1 FROM part WHERE lower(p_type) = 'economy'))
+SELECT source, target, relation FROM e UNION ALL SELECT source, target, 'likes' FROM fe""")
+def semantic_merge(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = entities(spark, sf)
+    return build.merge_fragment(nodes, edges, None, *_fragment(spark, sf))[1].select("source", "target", "relation")
+
+
+@query("SELECT 'hyper:' || c_nationkey AS id, count(*) AS members FROM customer GROUP BY c_nationkey HAVING count(*) >= 2")
+def hyperedge_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return build.valid_hyperedges(_fragment(spark, sf)[2], entities(spark, sf)[0]).select("id", F.size("nodes").cast("bigint").alias("members"))
+
+
+def _updated(spark: SparkSession, sf: str) -> tuple[Tables, Tables]:
+    """The entity graph before and after: customers of one nation are gone, those of another new."""
+    nodes, edges = entities(spark, sf)
+    customer = _read(spark, sf, "customer").where("c_nationkey = 3")
+    item = _id("customers", "c_nationkey")
+    new = customer.select(build.ord_of(F.lit(3), F.col("c_custkey"), 1).alias("ord"), _id("customer", "c_custkey").alias("id"), F.concat(F.lit("New "), F.col("c_name")).alias("label"), F.lit("function").alias("type"), item.alias("source_item_id"))
+    link = customer.select(build.ord_of(F.lit(2), F.col("c_custkey"), 1).alias("ord"), _id("customer", "c_custkey").alias("source"), _id("customer", "c_custkey").alias("target"), F.lit("renews").alias("relation"), F.lit("EXTRACTED").alias("confidence"), item.alias("source_item_id"))
+    affected = spark.createDataFrame([("customers:5",), ("customers:3",)], "source_item_id string")
+    after = build.update(nodes, edges, None, build.build(new, link), affected)
+    return (nodes, edges), after[:2]
+
+
+_UPDATE_SQL = _GRAPH + """
+kn AS (SELECT * FROM n WHERE item NOT IN ('customers:5', 'customers:3')),
+un AS MATERIALIZED (SELECT id, label, type, item FROM kn UNION ALL SELECT 'customer:' || c_custkey, 'New ' || c_name, 'function', 'customers:3' FROM customer WHERE c_nationkey = 3),
+ue AS MATERIALIZED (SELECT source, target, relation, item FROM e WHERE coalesce(item, '') NOT IN ('customers:5', 'customers:3') AND source IN (SELECT id FROM kn) AND target IN (SELECT id FROM kn)
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer:' || c_custkey, 'renews', 'customers:3' FROM customer WHERE c_nationkey = 3),"""
+
+
+@query(_UPDATE_SQL + "z AS (SELECT 1) SELECT id, label, type, item AS source_item_id FROM un")
+def incremental_update(spark: SparkSession, sf: str) -> DataFrame:
+    return _updated(spark, sf)[1][0].select("id", "label", "type", "source_item_id")
+
+
+@query(_UPDATE_SQL + "z AS (SELECT 1) SELECT source, target, relation, item AS source_item_id FROM ue")
+def incremental_update_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _updated(spark, sf)[1][1].select("source", "target", "relation", "source_item_id")
+
+
+@query(_UPDATE_SQL + """
+d AS (SELECT CASE WHEN n.id IS NULL THEN 'added_node' WHEN un.id IS NULL THEN 'removed_node' ELSE 'changed_node' END AS kind, coalesce(un.id, n.id) AS key, nullif(coalesce(un.item, n.item), '') AS item
+  FROM n FULL JOIN un ON n.id = un.id WHERE n.id IS NULL OR un.id IS NULL OR n.label <> un.label),
+x AS (SELECT DISTINCT source || ':' || target || ':' || relation || ':' || coalesce(item, '') || ':key' AS k FROM e), y AS (SELECT DISTINCT source || ':' || target || ':' || relation || ':' || coalesce(item, '') || CASE relation WHEN 'renews' THEN ':' ELSE ':key' END AS k FROM ue)
+SELECT kind, key FROM d UNION ALL SELECT DISTINCT 'changed_source', item FROM d WHERE item IS NOT NULL
+UNION ALL SELECT 'removed_edge', k FROM x WHERE k NOT IN (SELECT k FROM y) UNION ALL SELECT 'added_edge', k FROM y WHERE k NOT IN (SELECT k FROM x)""")
+def graph_diff(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _updated(spark, sf)
+    return history.diff(*old, *new)
+
+
+# -- history --
+
+
+@query(_GRAPH + f"""hh AS (SELECT item, arg_max(hash, o) AS h FROM n WHERE item <> '' AND hash IS NOT NULL GROUP BY item)
+SELECT '{STAMP}:build' AS id, 'build' AS label, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count, (SELECT count(DISTINCT item) FROM n) AS source_count, md5((SELECT string_agg(item || '=' || h, ',' ORDER BY item) FROM hh)) AS hashes""")
+def snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    one = history.snapshot(*entities(spark, sf), "build", STAMP)
+    pairs = F.transform(F.map_entries("source_hashes"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return one.select("id", "label", "node_count", "edge_count", "source_count", F.md5(F.array_join(pairs, ",").cast("binary")).alias("hashes"))
+
+
+@query(_GRAPH + f"""hh AS (SELECT item, arg_max(hash, o) AS h FROM n WHERE item <> '' AND hash IS NOT NULL GROUP BY item),
+u AS (SELECT 'customers:' || c_nationkey AS id FROM customer GROUP BY 1 UNION ALL SELECT 'fresh'), g AS (SELECT 'region' AS id UNION ALL SELECT 'nowhere')
+SELECT '{STAMP}:' || CASE WHEN u.id IN (SELECT item FROM n) THEN 'updated' ELSE 'added' END || ':' || u.id AS id, CASE WHEN u.id IN (SELECT item FROM n) THEN 'updated' ELSE 'added' END AS event, u.id AS source_item_id, h AS previous_hash FROM u LEFT JOIN hh ON item = u.id
+UNION ALL SELECT '{STAMP}:removed:' || g.id, 'removed', g.id, h FROM g LEFT JOIN hh ON item = g.id""")
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = entities(spark, sf)
+    ids = _read(spark, sf, "customer").select(_id("customers", "c_nationkey").alias("id")).distinct().unionByName(spark.createDataFrame([("fresh",)], "id string"))
+    items = sources.normalize(ids.withColumn("text", F.lit("")).withColumn("item_seq", F.lit(0)))
+    gone = spark.createDataFrame([("region",), ("nowhere",)], "source_item_id string")
+    return history.update_timeline(nodes, items, gone, STAMP).select("id", "event", "source_item_id", "previous_hash")
+
+
+@query(_GRAPH + """k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY o) AS k FROM n WHERE item <> '')
+SELECT item AS source_item_id, count(*) AS node_count, array_to_string(list(label ORDER BY k) FILTER (k <= 8), '|') AS labels, max(hash) FILTER (k = 1) AS hash FROM k GROUP BY item""")
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return art.manifest_sources(entities(spark, sf)[0]).select("source_item_id", "node_count", F.array_join("labels", "|").alias("labels"), "hash")
+
+
+# -- analytics --
+
+
+@query(_GRAPH + _DEGREE + "z AS (SELECT 1) SELECT id, degree FROM dg")
+def degree(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.degrees(*entities(spark, sf)).select("id", "degree")
+
+
+@query(_GRAPH + _DEGREE + "z AS (SELECT 1) SELECT id, label, degree FROM dg WHERE type NOT IN ('tag', 'resource') ORDER BY degree DESC, o LIMIT 10")
+def god_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.god_nodes(*entities(spark, sf))
+
+
+@query(_GRAPH + _DEGREE + "z AS (SELECT 1) SELECT id, label, degree FROM dg WHERE type NOT IN ('tag', 'resource') AND degree <= 1")
+def isolated_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.isolated_nodes(*entities(spark, sf))
+
+
+@query(_GRAPH + "c AS (SELECT unnest(['EXTRACTED', 'INFERRED', 'AMBIGUOUS']) AS confidence) SELECT c.confidence, count(e.o) AS n FROM c LEFT JOIN e USING (confidence) GROUP BY c.confidence")
+def confidence_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.confidence_breakdown(entities(spark, sf)[1])
+
+
+@query(_GRAPH + """s AS (SELECT e.*, a.label AS al, b.label AS bl, CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE relation WHEN 'references' THEN 1 ELSE 0 END AS score
+  FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target WHERE a.item <> '' AND b.item <> '' AND a.item <> b.item)
+SELECT row_number() OVER (ORDER BY score DESC, o)::INT AS rank, al AS source, bl AS target, relation, confidence, CASE confidence WHEN 'INFERRED' THEN 'Cross-source inferred reference' ELSE 'Cross-source structural connection' END AS reason FROM s ORDER BY score DESC, o LIMIT 5""")
+def surprising_top5(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.surprising_connections(*entities(spark, sf))
+
+
+def _sparse(spark: SparkSession, sf: str) -> Tables:
+    """The entity graph without orders, tags, regions and half the nations: many components."""
+    nodes, edges = entities(spark, sf)
+    kept = nodes.where("type not in ('chunk', 'tag', 'document') and not id rlike '^nation:[0-9]*[02468]$'")
+    return kept, build.with_endpoints(edges, kept)
+
+
+_SPARSE = _GRAPH.replace("n AS MATERIALIZED (", "n0 AS MATERIALIZED (").replace("ee AS (", "n AS MATERIALIZED (SELECT * FROM n0 WHERE type NOT IN ('chunk', 'tag', 'document') AND NOT regexp_matches(id, '^nation:[0-9]*[02468]$')),\nee AS (")
+
+
+@query(_SPARSE + _COMPONENTS + "z AS (SELECT 1) SELECT id, c AS root FROM cc")
+def connected_components(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.components(*_sparse(spark, sf))
+
+
+@query(_SPARSE + _COMPONENTS + """g AS (SELECT c, count(*) AS size, min(o) AS first, coalesce(arg_min(label, o) FILTER (type NOT IN ('tag', 'resource')), 'Community') AS label, md5(string_agg(id, ',' ORDER BY o)) AS members FROM cc JOIN n USING (id) GROUP BY c)
+SELECT (row_number() OVER (ORDER BY size DESC, first) - 1)::INT AS community, label, size, members FROM g""")
+def community_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.communities(*_sparse(spark, sf)).select("community", "label", "size", F.md5(F.array_join("node_ids", ",").cast("binary")).alias("members"))
+
+
+@query(_GRAPH + """g AS (SELECT source, count(*) AS g FROM e GROUP BY source), c AS (SELECT count(*)::DOUBLE AS c FROM n),
+pr(i, id, r) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT c FROM c) FROM n UNION ALL
+  SELECT max(i) + 1, id, 0.15::DOUBLE / (SELECT c FROM c) + sum(x) FROM (
+    SELECT p.i, p.id, 0.0::DOUBLE AS x FROM pr p WHERE p.i < 30 UNION ALL
+    SELECT p.i, e.target, 0.85::DOUBLE * p.r / g.g FROM pr p JOIN e ON e.source = p.id JOIN g ON g.source = p.id WHERE p.i < 30) GROUP BY id)
+SELECT id, round(r * 1000000, 6) AS rank_ppm FROM pr WHERE i = 30""")
+def pagerank30(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.page_rank(*entities(spark, sf)).select("id", F.round(F.col("rank") * 1_000_000, 6).alias("rank_ppm"))
+
+
+def _geo(spark: SparkSession, sf: str) -> Tables:
+    nodes, edges = entities(spark, sf)
+    kept = nodes.where("type in ('document', 'class', 'interface')")
+    return kept, build.with_endpoints(edges, kept)
+
+
+#: Regions, nations and suppliers are a forest: node v splits its tree into its branches.
+_GEO = _GRAPH + """
+gn AS (SELECT * FROM n WHERE type IN ('document', 'class', 'interface')), ge AS (SELECT * FROM e WHERE source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn)),
+w AS (SELECT id, count(s.source) AS w FROM gn LEFT JOIN ge s ON s.target = gn.id WHERE gn.type = 'class' GROUP BY id),
+rg AS (SELECT target AS region, sum(w + 1) AS below, sum((w + 1) * (w + 1)) AS squares, count(*) AS branches FROM ge JOIN w ON w.id = ge.source GROUP BY target),
+"""
+
+
+@query(_GEO + """
+b AS (SELECT region AS id, (below * below - squares)::DOUBLE AS b FROM rg
+  UNION ALL SELECT w.id, ((rg.below + 1 - 1)::DOUBLE * (rg.below + 1 - 1) - w.w - (rg.below - w.w)::DOUBLE * (rg.below - w.w))::DOUBLE FROM w JOIN ge ON ge.source = w.id JOIN rg ON rg.region = ge.target)
+SELECT gn.id, round(coalesce(b, 0) * 2 / ((SELECT count(*) FROM gn)::DOUBLE - 1) / ((SELECT count(*) FROM gn) - 2), 9) AS betweenness FROM gn LEFT JOIN b ON b.id = gn.id""")
+def betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _geo(spark, sf)
+    return analyze.betweenness(nodes, edges, limit=100_000).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query(_GEO + """d AS (SELECT region AS id, branches AS degree FROM rg WHERE branches > 1 UNION ALL SELECT id, w + 1 FROM w WHERE w > 0) SELECT d.id, gn.label, d.degree::BIGINT AS degree FROM d JOIN gn USING (id)""")
+def bridge_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.bridge_nodes(*_geo(spark, sf))
+
+
+# -- search --
+
+_SCORE = """sc AS (SELECT *, s + CASE type WHEN 'document' THEN 4 WHEN 'class' THEN 3 WHEN 'function' THEN 3 WHEN 'interface' THEN 3 WHEN 'symbol' THEN 1 WHEN 'tag' THEN -2 ELSE 0 END AS score FROM (
+  SELECT *, list_sum(list_transform([%s], lambda t: CASE WHEN norm = t THEN 100 WHEN starts_with(norm, t) THEN 50 WHEN contains(norm, t) THEN 10 ELSE 0 END
+    + CASE WHEN starts_with(np, t) THEN 8 WHEN contains(np, t) THEN 5 ELSE 0 END)) AS s FROM (SELECT *, coalesce(trim(regexp_replace(lower(path), '[^a-z0-9]+', ' ', 'g')), '') AS np FROM n)) WHERE s > 0),"""
+
+
+@query(_GRAPH + _SCORE % "'asia', 'geo', 'nation', '7'" + "z AS (SELECT 1) SELECT id, score::BIGINT AS score FROM sc WHERE score > 0")
+def search_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return search.score_nodes(entities(spark, sf)[0], "Asia, geo: NATION 7").select("id", "score")
+
+
+_SEEDS = _SCORE % "'asia'" + "seed AS (SELECT id FROM sc WHERE score > 0 ORDER BY score DESC, o LIMIT 3),"
+
+
+@query(_GRAPH + _BOTH + _SEEDS + """h1 AS (SELECT id, 0 AS hop FROM seed), h2 AS (SELECT * FROM h1 UNION ALL SELECT DISTINCT y, 1 FROM a WHERE x IN (SELECT id FROM h1) AND y NOT IN (SELECT id FROM h1)),
+h3 AS (SELECT * FROM h2 UNION ALL SELECT DISTINCT y, 2 FROM a WHERE x IN (SELECT id FROM h2 WHERE hop = 1) AND y NOT IN (SELECT id FROM h2)) SELECT id, hop FROM h3""")
+def k_hop(spark: SparkSession, sf: str) -> DataFrame:
+    return search.query_graph(*entities(spark, sf), "asia")[0].select("id", "hop")
+
+
+@query(_GRAPH + _BOTH + _SEEDS + """h1 AS (SELECT id FROM seed), h2 AS (SELECT id FROM h1 UNION SELECT y FROM a WHERE x IN (SELECT id FROM h1))
+SELECT source, target, relation FROM e WHERE source IN (SELECT id FROM h2) OR target IN (SELECT id FROM h2)""")
+def k_hop_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return search.query_graph(*entities(spark, sf), "asia")[1].select("source", "target", "relation")
+
+
+@query(_GRAPH + """c AS (SELECT 'nation:7' AS id) SELECT n.id, n.label, relation, 'outgoing' AS direction FROM e JOIN c ON c.id = source JOIN n ON n.id = target UNION ALL SELECT n.id, n.label, relation, 'incoming' FROM e JOIN c ON c.id = target JOIN n ON n.id = source""")
+def neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    # 'nation' and '7' both occur in NATION_7, and in no node before it
+    return search.neighbors(*entities(spark, sf), "nation_7").select("id", "label", "relation", "direction")
+
+
+@query(_GRAPH + """wa AS MATERIALIZED (SELECT source AS x, target AS y, 1 / greatest(coalesce(score, 0.5), 0.01) AS w FROM e UNION ALL SELECT target, source, 1 / greatest(coalesce(score, 0.5), 0.01) FROM e),
+sp(id, c) USING KEY (id) AS (SELECT 'region:0', 0.0::DOUBLE UNION (SELECT wa.y, min(sp.c + wa.w) FROM sp JOIN wa ON wa.x = sp.id LEFT JOIN recurring.sp k ON k.id = wa.y WHERE k.c IS NULL OR sp.c + wa.w < k.c GROUP BY wa.y))
+SELECT id, round(c, 6) AS cost FROM sp""")
+def weighted_path_cost(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = entities(spark, sf)
+    return search.distances(edges, nodes.where("id = 'region:0'")).select("id", F.round("cost", 6).alias("cost"))
+
+
+# -- artifacts --
+
+
+@query(_GRAPH + """z AS (SELECT 1) SELECT '  "' || regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') || '" [label="' || label || '"];' AS line FROM n UNION ALL
+SELECT '  "' || regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g') || '" -> "' || regexp_replace(target, '[^A-Za-z0-9_]', '_', 'g') || '" [label="' || relation || '"];' FROM e""")
+def dot_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return art.dot_lines(*entities(spark, sf)).select("line")
+
+
+@query(_GRAPH + """z AS (SELECT 1) SELECT '    <node id="' || id || '"><data key="label">' || label || '</data><data key="type">' || type || '</data></node>' AS line FROM n UNION ALL
+SELECT '    <edge id="e' || (row_number() OVER (ORDER BY o) - 1) || '" source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data><data key="confidence">' || confidence || '</data></edge>' FROM e""")
+def graphml_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return art.graphml_lines(*entities(spark, sf)).select("line")
+
+
+@query(_GRAPH + """z AS (SELECT 1) SELECT 'MERGE (n:GraphBuilderNode {id: "' || id || '"}) SET n.label = "' || label || '", n.type = "' || type || '";' AS line FROM n UNION ALL
+SELECT 'MATCH (a:GraphBuilderNode {id: "' || source || '"}), (b:GraphBuilderNode {id: "' || target || '"}) MERGE (a)-[:' || upper(regexp_replace(relation, '[^A-Za-z0-9_]', '_', 'g')) || ' {confidence: "' || confidence || '"}]->(b);' FROM e""")
+def cypher_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return art.cypher_lines(*entities(spark, sf)).select("line")
+
+
+@query(_SPARSE + _COMPONENTS + """g AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(o)) - 1 AS community FROM cc JOIN n USING (id) GROUP BY c),
+m AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY o) AS rank, label, type FROM n JOIN cc USING (id) JOIN g USING (c)) SELECT community::INT AS community, rank::INT AS rank, label, type FROM m WHERE rank <= 25""")
+def wiki_members(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _sparse(spark, sf)
+    return art.wiki_members(analyze.assign_communities(nodes, analyze.communities(nodes, edges)))
+
+
+# -- extraction in Python workers --
+
+
+def _items(spark: SparkSession, sf: str, table: str, id_: Column, text: Column, path: Column, order: str) -> DataFrame:
+    df = _read(spark, sf, table)
+    return sources.normalize(df.select(id_.alias("id"), text.alias("text"), path.alias("path"), F.col(order)), order)
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g') AS label, text FROM documents WHERE regexp_full_match(text, '(?:[A-Za-zÀ-ÿ]+[,.]? ?)+'))
+SELECT doc_id, substr(label, 1, 120) AS label, 'doc:' || doc_id || ':chunk:0' AS id FROM t WHERE label <> ''""")
+def doc_chunks_basic(spark: SparkSession, sf: str) -> DataFrame:
+    # texts of one line of plain words: any engine agrees that they are one paragraph
+    plain = _read(spark, sf, "documents").where(F.col("text").rlike("^(?:[A-Za-zÀ-ÿ]+[,.]? ?)+$") & ~F.col("text").contains("\n"))
+    items = sources.normalize(plain.select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id"), "doc_id")
+    nodes, _ = build.build(*build.raw_tables(extract.extract(items)))
+    return nodes.where("type = 'chunk'").select(F.col("source_item_id").cast("bigint").alias("doc_id"), "label", "id")
+
+
+@query(r"""SELECT 'doc:' || event_id || ':schema:' || k AS id, k AS label, 'schema_field' AS type, event_id::VARCHAR AS source_item_id FROM (SELECT event_id, unnest(json_keys(props::JSON)) AS k FROM events)
+UNION ALL SELECT 'doc:' || event_id, event_id || '.json', 'data_file', event_id::VARCHAR FROM events""")
+def schema_walk(spark: SparkSession, sf: str) -> DataFrame:
+    items = _items(spark, sf, "events", F.col("event_id").cast("string"), F.col("props"), F.concat(F.col("event_id").cast("string"), F.lit(".json")), "event_id")
+    return build.build(*build.raw_tables(extract.extract(items)))[0].select("id", "label", "type", "source_item_id")
+
+
+@query()
+def markdown_extract(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.col("text"), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n- see [the next]("), (F.col("doc_id") + 1).cast("string"), F.lit(") #"), F.col("lang"), F.lit("\n"))
+    items = _items(spark, sf, "documents", F.col("doc_id").cast("string"), text, F.concat(F.lit("docs/"), F.col("doc_id").cast("string")), "doc_id")
+    nodes, edges = build.build(*build.raw_tables(extract.extract(items)))
+    kinds = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), F.col("type").alias("kind"), "n")
+    return kinds.unionByName(edges.groupBy("relation").agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), F.col("relation").alias("kind"), "n"))
+
+
+@query("""SELECT unnest(['class', 'code_file', 'function', 'method', 'package', 'resource']) AS kind, unnest([count(*), count(*), count(*), count(*), (SELECT count(DISTINCT p_brand) FROM part), count(*)]) AS n FROM part""")
+def script_extract(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('import { x } from "'), F.col("p_brand"), F.lit('";\nimport y from "./part'), k, F.lit('";\nexport class Part'), k, F.lit(" { price() { return run"), k, F.lit("(); } }\nexport function run"), k, F.lit("() { return 1; }\n"))
+    items = _items(spark, sf, "part", F.concat(F.lit("p"), k), text, F.concat(F.lit("src/p"), k, F.lit(".ts")), "p_partkey")
+    return build.build(*build.raw_tables(extract.extract(items)))[0].groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
