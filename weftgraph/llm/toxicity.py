@@ -42,9 +42,12 @@ THRESHOLD = 0.95
 LEET = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "6": "g", "9": "g", "(": "c", "<": "c", "€": "e", "£": "l", "2": "z"}
 #: Channel costs in nats: a look-alike, the first and each further repetition of a letter, a separator
 #: dropped between two single letters or beside one, white space or another sign dropped elsewhere.
-C_LEET, C_REPEAT, C_AGAIN, C_SINGLE, C_BESIDE, C_SPACE, C_SIGN = 1.0, 6.0, 0.3, 0.3, 3.0, 8.0, 2.0
+C_LEET, C_REPEAT, C_AGAIN, C_SINGLE, C_BESIDE, C_SPACE, C_SIGN = 1.0, 6.0, 0.3, 0.3, 3.0, 12.0, 2.0
 #: Keeping one separator of spelled-out letters as a boundary: such spelling drops all or none.
 C_KEEP = 3.0
+#: Reading a look-alike that touches a letter as no letter, unless it is common punctuation.
+C_SYMBOL = 4.0
+PUNCTUATION = "!|(+"
 SCHEMA = "doc_id bigint, toxicity double, n_hits int, n_restored int, toxic boolean, keep boolean"
 
 
@@ -125,7 +128,7 @@ def decode(text: str, model: np.ndarray) -> str:
     for i, ch in enumerate(text):
         letter = _fold(ch)
         emits = [(ord(letter) - 96, 0.0)] if letter else [(ord(x) - 96, C_LEET) for x in LEET.get(ch, "")]
-        drop, keep = (0.0, 0.0) if emits else _spacing(text, i)
+        drop, keep = (0.0, 0.0 if ch in PUNCTUATION else C_SYMBOL) if emits else _spacing(text, i)
         new: dict[tuple[int, int, int, bool], tuple[float, tuple | None]] = {}
 
         def reach(key: tuple, cost: float, out: tuple | None, new: dict = new) -> None:
