@@ -25,15 +25,16 @@ def _folding() -> tuple[str, str, dict[str, str]]:
         if len(folded) == 1:
             one_from.append(ch)
             one_to.append(folded)
-        elif folded.isalpha() and cp < 0x3000 or 0xFB00 <= cp <= 0xFB06:
+        elif 0x132 <= cp <= 0x1F3 or 0xFB00 <= cp <= 0xFB06:
             more[ch] = folded
     # combining marks go: translate drops characters that have no counterpart
     return "".join(one_from) + "".join(map(chr, range(0x300, 0x370))), "".join(one_to), more
 
 
 def strip_diacritics(c: Column) -> Column:
-    """Base letters of c; JVM-side, by a table made from Unicode's decompositions. Compatibility signs
-    that stand for several characters are folded if those are all letters."""
+    """Base letters of c; JVM-side, by a table made from Unicode's decompositions. Of the signs that
+    stand for several characters, Latin digraphs and ligatures are folded, others (as Roman numerals
+    in one sign) are not."""
     froms, tos, more = _folding()
     out = F.translate(c, froms, tos)
     multi = out

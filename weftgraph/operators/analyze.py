@@ -240,7 +240,7 @@ def bridge_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = edges.where("source <> target").select(F.col("source").alias("id"), F.col("target").alias("other")).distinct().join(root, "id")
     rows = members.select("root", "ord", "id", F.lit(None).cast("string").alias("other")).unionByName(links.join(big, "root", "left_semi").select("root", F.lit(None).cast("struct<epoch:int,item:bigint,pos:bigint,sub:int>").alias("ord"), "id", "other"))
 
-    def cuts(key, table: pa.Table) -> pa.Table:
+    def cuts(table):
         other = table.column("other").to_pylist()
         ids, ords = table.column("id").to_pylist(), table.column("ord").to_pylist()
         order = [x for _, x in sorted((tuple(o.values()), i) for i, o, y in zip(ids, ords, other) if y is None)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +28,16 @@ def score_nodes(nodes: DataFrame, query: str) -> DataFrame:
         return nodes.withColumn("score", F.lit(0).cast("bigint")).where("false")
     label, path = F.coalesce("normalized_label", X.normalize_label(F.col("label"))), F.coalesce(X.normalize_label(F.col("path")), F.lit(""))
 
-    def points(t: str) -> Column:
-        on_label = F.when(F.col("_label") == t, 100).when(F.col("_label").startswith(t), 50).when(F.col("_label").contains(t), 10).otherwise(0)
-        return on_label + F.when(F.col("_path").startswith(t), 8).when(F.col("_path").contains(t), 5).otherwise(0)
+    def points(acc: Column, t: Column) -> Column:
+        on_label = F.when(acc["label"] == t, 100).when(acc["label"].startswith(t), 50).when(acc["label"].contains(t), 10).otherwise(0)
+        on_path = F.when(acc["path"].startswith(t), 8).when(acc["path"].contains(t), 5).otherwise(0)
+        return F.struct(acc["label"].alias("label"), acc["path"].alias("path"), (acc["score"] + on_label + on_path).cast("bigint").alias("score"))
 
-    scored = nodes.withColumn("_label", label).withColumn("_path", path).withColumn("score", reduce(lambda a, b: a + b, map(points, terms)).cast("bigint")).where("score > 0")
-    return scored.withColumn("score", F.col("score") + type_priority()).where("score > 0").drop("_label", "_path")
+    # label and path are normalised once, however many words the query has
+    start = F.struct(label.alias("label"), path.alias("path"), F.lit(0).cast("bigint").alias("score"))
+    total = F.aggregate(F.array(*map(F.lit, terms)), start, points, lambda acc: acc["score"])
+    scored = nodes.withColumn("score", total).where("score > 0")
+    return scored.withColumn("score", F.col("score") + type_priority()).where("score > 0")
 
 
 def get_node(nodes: DataFrame, query: str) -> DataFrame:

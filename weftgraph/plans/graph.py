@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analyze, build, extract, history, search
+from ..operators import analyze, build, extract, history
+from ..operators import search as finding
 from ..schema import EDGE_COLUMNS, HYPEREDGE, NODE_COLUMNS
 from ..sources import items as sources
 from . import artifacts as art
@@ -139,22 +140,22 @@ class Result:
         return art.render(self.graph, self.analysis, tuple(dict.fromkeys(("json", "report", *self.options.artifacts))))
 
     def search(self, query: str) -> DataFrame:
-        return search.score_nodes(self.graph.nodes, query)
+        return finding.score_nodes(self.graph.nodes, query)
 
     def node(self, query: str) -> DataFrame:
-        return search.get_node(self.graph.nodes, query)
+        return finding.get_node(self.graph.nodes, query)
 
-    def query(self, query: str, depth: int = search.DEPTH, max_seeds: int = search.MAX_SEEDS) -> tuple[DataFrame, DataFrame]:
-        return search.query_graph(self.graph.nodes, self.graph.edges, query, depth, max_seeds)
+    def query(self, query: str, depth: int = finding.DEPTH, max_seeds: int = finding.MAX_SEEDS) -> tuple[DataFrame, DataFrame]:
+        return finding.query_graph(self.graph.nodes, self.graph.edges, query, depth, max_seeds)
 
     def path(self, source: str, target: str) -> tuple[list[str], list[dict], float] | None:
-        return search.shortest_path(self.graph.nodes, self.graph.edges, source, target)
+        return finding.shortest_path(self.graph.nodes, self.graph.edges, source, target)
 
     def neighbors(self, query: str) -> DataFrame:
-        return search.neighbors(self.graph.nodes, self.graph.edges, query)
+        return finding.neighbors(self.graph.nodes, self.graph.edges, query)
 
     def community(self, number: int) -> DataFrame:
-        return search.community_nodes(self.graph.nodes, number)
+        return finding.community_nodes(self.graph.nodes, number)
 
     def timeline(self, source_item_id: str | None = None) -> DataFrame:
         t = self.graph.timeline

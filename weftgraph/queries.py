@@ -57,7 +57,7 @@ def raw_entities(spark: SparkSession, sf: str) -> Tables:
         edges(t["customer"], 4, F.col("c_custkey"), _id("customer", "c_custkey"), _id("segment", "c_custkey"), "contains", yes, F.lit(1.0), _id("customers", "c_nationkey")),
         edges(t["orders"], 5, F.col("o_orderkey"), _id("order", "o_orderkey"), _id("customer", "o_custkey"), "placed_by", F.when(first, "AMBIGUOUS").otherwise("EXTRACTED"), F.when(first, 0.3).otherwise(0.9), _id("orders", "o_custkey")),
         edges(t["orders"], 6, F.col("o_orderkey"), _id("order", "o_orderkey"), tag, "tagged_with", yes, F.lit(None), _id("orders", "o_custkey")),
-        edges(t["lineitem"], 7, F.col("l_orderkey") * 8 + F.col("l_linenumber"), _id("supplier", "l_suppkey"), _id("order", "l_orderkey"), "supplies", yes, F.lit(0.5), F.lit(None).cast("string")),
+        edges(t["lineitem"], 7, (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey"), _id("supplier", "l_suppkey"), _id("order", "l_orderkey"), "supplies", yes, F.lit(0.5), F.lit(None).cast("string")),
     ]
     n, e = found[0], links[0]
     for x in found[1:]:
@@ -73,21 +73,21 @@ def entities(spark: SparkSession, sf: str) -> Tables:
 
 _ENTITY_SQL = r"""
 rn AS (
-  SELECT 1000000000000 + r_regionkey AS o, 'region:' || r_regionkey AS id, r_name AS label, 'document' AS type, 'region' AS item, 'geo/' || lower(r_name) || '.md' AS path, md5(r_name) AS hash FROM region
-  UNION ALL SELECT 2000000000000 + n_nationkey, 'nation:' || n_nationkey, n_name, 'class', 'nation', 'geo/nation.ts', NULL FROM nation
-  UNION ALL SELECT 3000000000000 + c_custkey, 'customer:' || c_custkey, c_name, 'function', 'customers:' || c_nationkey, NULL, md5(c_name) FROM customer
-  UNION ALL SELECT 4000000000000 + s_suppkey, 'supplier:' || s_suppkey, s_name, 'interface', 'suppliers:' || s_nationkey, NULL, NULL FROM supplier
-  UNION ALL SELECT 5000000000000 + c_custkey, 'segment:' || c_custkey, c_mktsegment, 'symbol', 'customers:' || c_nationkey, NULL, NULL FROM customer
-  UNION ALL SELECT 6000000000000 + o_orderkey, 'order:' || o_orderkey, 'Order ' || o_orderkey, 'chunk', 'orders:' || o_custkey, NULL, o_orderstatus FROM orders
-  UNION ALL SELECT 7000000000000 + o_orderkey, 'tag:' || replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), o_orderpriority, 'tag', 'orders:' || o_custkey, NULL, NULL FROM orders),
+  SELECT 1000000000000000 + r_regionkey AS o, 'region:' || r_regionkey AS id, r_name AS label, 'document' AS type, 'region' AS item, 'geo/' || lower(r_name) || '.md' AS path, md5(r_name) AS hash FROM region
+  UNION ALL SELECT 2000000000000000 + n_nationkey, 'nation:' || n_nationkey, n_name, 'class', 'nation', 'geo/nation.ts', NULL FROM nation
+  UNION ALL SELECT 3000000000000000 + c_custkey, 'customer:' || c_custkey, c_name, 'function', 'customers:' || c_nationkey, NULL, md5(c_name) FROM customer
+  UNION ALL SELECT 4000000000000000 + s_suppkey, 'supplier:' || s_suppkey, s_name, 'interface', 'suppliers:' || s_nationkey, NULL, NULL FROM supplier
+  UNION ALL SELECT 5000000000000000 + c_custkey, 'segment:' || c_custkey, c_mktsegment, 'symbol', 'customers:' || c_nationkey, NULL, NULL FROM customer
+  UNION ALL SELECT 6000000000000000 + o_orderkey, 'order:' || o_orderkey, 'Order ' || o_orderkey, 'chunk', 'orders:' || o_custkey, NULL, o_orderstatus FROM orders
+  UNION ALL SELECT 7000000000000000 + o_orderkey, 'tag:' || replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), o_orderpriority, 'tag', 'orders:' || o_custkey, NULL, NULL FROM orders),
 re AS (
-  SELECT 1000000000000 + n_nationkey AS o, 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'in_region' AS relation, 'EXTRACTED' AS confidence, 1.0::DOUBLE AS score, 'nation' AS item FROM nation
-  UNION ALL SELECT 2000000000000 + c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'in_nation', 'EXTRACTED', NULL, 'customers:' || c_nationkey FROM customer
-  UNION ALL SELECT 3000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'references', 'INFERRED', 0.6, 'suppliers:' || s_nationkey FROM supplier
-  UNION ALL SELECT 4000000000000 + c_custkey, 'customer:' || c_custkey, 'segment:' || c_custkey, 'contains', 'EXTRACTED', 1.0, 'customers:' || c_nationkey FROM customer
-  UNION ALL SELECT 5000000000000 + o_orderkey, 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by', CASE WHEN o_orderpriority LIKE '1%' THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END, CASE WHEN o_orderpriority LIKE '1%' THEN 0.3 ELSE 0.9 END, 'orders:' || o_custkey FROM orders
-  UNION ALL SELECT 6000000000000 + o_orderkey, 'order:' || o_orderkey, 'tag:' || replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 'tagged_with', 'EXTRACTED', NULL, 'orders:' || o_custkey FROM orders
-  UNION ALL SELECT 7000000000000 + l_orderkey * 8 + l_linenumber, 'supplier:' || l_suppkey, 'order:' || l_orderkey, 'supplies', 'EXTRACTED', 0.5, NULL FROM lineitem),
+  SELECT 1000000000000000 + n_nationkey AS o, 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'in_region' AS relation, 'EXTRACTED' AS confidence, 1.0::DOUBLE AS score, 'nation' AS item FROM nation
+  UNION ALL SELECT 2000000000000000 + c_custkey, 'customer:' || c_custkey, 'nation:' || c_nationkey, 'in_nation', 'EXTRACTED', NULL, 'customers:' || c_nationkey FROM customer
+  UNION ALL SELECT 3000000000000000 + s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'references', 'INFERRED', 0.6, 'suppliers:' || s_nationkey FROM supplier
+  UNION ALL SELECT 4000000000000000 + c_custkey, 'customer:' || c_custkey, 'segment:' || c_custkey, 'contains', 'EXTRACTED', 1.0, 'customers:' || c_nationkey FROM customer
+  UNION ALL SELECT 5000000000000000 + o_orderkey, 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by', CASE WHEN o_orderpriority LIKE '1%' THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END, CASE WHEN o_orderpriority LIKE '1%' THEN 0.3 ELSE 0.9 END, 'orders:' || o_custkey FROM orders
+  UNION ALL SELECT 6000000000000000 + o_orderkey, 'order:' || o_orderkey, 'tag:' || replace(trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 'tagged_with', 'EXTRACTED', NULL, 'orders:' || o_custkey FROM orders
+  UNION ALL SELECT 7000000000000000 + (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey, 'supplier:' || l_suppkey, 'order:' || l_orderkey, 'supplies', 'EXTRACTED', 0.5, NULL FROM lineitem),
 """
 _BUILD_SQL = r"""
 nn AS (SELECT id, min(o) AS o, arg_max({'label': label, 'type': type, 'item': item, 'path': path, 'hash': hash}, o) AS p FROM rn GROUP BY id),
@@ -282,7 +282,7 @@ def entity_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return entities(spark, sf)[1].select("source", "target", "relation", "confidence", "confidence_score", "source_item_id")
 
 
-@query("WITH " + _ENTITY_SQL + "z AS (SELECT 1) SELECT source, target, relation, min(o) % 1000000000000 AS pos, count(*) AS copies FROM re GROUP BY source, target, relation, coalesce(item, '')")
+@query("WITH " + _ENTITY_SQL + "z AS (SELECT 1) SELECT source, target, relation, min(o) % 1000000000000000 AS pos, count(*) AS copies FROM re GROUP BY source, target, relation, coalesce(item, '')")
 def edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     raw = raw_entities(spark, sf)[1]
     copies = raw.groupBy("source", "target", "relation", F.coalesce("source_item_id", F.lit("")).alias("k")).agg(F.count("*").alias("copies"))
@@ -290,7 +290,7 @@ def edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return first.join(copies, ["source", "target", "relation", "k"]).select("source", "target", "relation", F.col("ord.pos").alias("pos"), "copies")
 
 
-@query("WITH " + _ENTITY_SQL + "z AS (SELECT 1) SELECT id, arg_max(label, o) AS label, arg_max(item, o) AS source_item_id, min(o) % 1000000000000 AS pos FROM rn GROUP BY id")
+@query("WITH " + _ENTITY_SQL + "z AS (SELECT 1) SELECT id, arg_max(label, o) AS label, arg_max(item, o) AS source_item_id, min(o) % 1000000000000000 AS pos FROM rn GROUP BY id")
 def node_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return build.dedupe_nodes(raw_entities(spark, sf)[0]).select("id", "label", "source_item_id", F.col("ord.pos").alias("pos"))
 
@@ -439,9 +439,9 @@ def confidence_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.confidence_breakdown(entities(spark, sf)[1])
 
 
-@query(_GRAPH + """s AS (SELECT e.*, a.label AS al, b.label AS bl, CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE relation WHEN 'references' THEN 1 ELSE 0 END AS score
-  FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target WHERE a.item <> '' AND b.item <> '' AND a.item <> b.item)
-SELECT row_number() OVER (ORDER BY score DESC, o)::INT AS rank, al AS source, bl AS target, relation, confidence, CASE confidence WHEN 'INFERRED' THEN 'Cross-source inferred reference' ELSE 'Cross-source structural connection' END AS reason FROM s ORDER BY score DESC, o LIMIT 5""")
+@query(_GRAPH + """s1 AS MATERIALIZED (SELECT e.o, e.target, e.relation, e.confidence, n.label AS al, n.item AS ai, CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE relation WHEN 'references' THEN 1 ELSE 0 END AS sur FROM e JOIN n ON n.id = e.source WHERE n.item <> ''),
+s AS MATERIALIZED (SELECT s1.*, n.label AS bl FROM s1 JOIN n ON n.id = s1.target WHERE n.item <> '' AND ai <> n.item)
+SELECT row_number() OVER (ORDER BY sur DESC, o)::INT AS rank, al AS source, bl AS target, relation, confidence, CASE confidence WHEN 'INFERRED' THEN 'Cross-source inferred reference' ELSE 'Cross-source structural connection' END AS reason FROM s ORDER BY sur DESC, o LIMIT 5""")
 def surprising_top5(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.surprising_connections(*entities(spark, sf))
 
@@ -582,11 +582,11 @@ def _items(spark: SparkSession, sf: str, table: str, id_: Column, text: Column,
     return sources.normalize(df.select(id_.alias("id"), text.alias("text"), path.alias("path"), F.col(order)), order)
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g') AS label, text FROM documents WHERE regexp_full_match(text, '(?:[A-Za-zÀ-ÿ]+[,.]? ?)+'))
-SELECT doc_id, substr(label, 1, 120) AS label, 'doc:' || doc_id || ':chunk:0' AS id FROM t WHERE label <> ''""")
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g') AS label, text FROM documents WHERE regexp_matches(text, '^[A-Za-zÀ-ÿ]') AND NOT regexp_matches(text, '[^A-Za-zÀ-ÿ,. ]'))
+SELECT doc_id, regexp_replace(substr(label, 1, 120), '\s+$', '') AS label, 'doc:' || doc_id || ':chunk:0' AS id FROM t WHERE label <> ''""")
 def doc_chunks_basic(spark: SparkSession, sf: str) -> DataFrame:
     # texts of one line of plain words: any engine agrees that they are one paragraph
-    plain = _read(spark, sf, "documents").where(F.col("text").rlike("^(?:[A-Za-zÀ-ÿ]+[,.]? ?)+$") & ~F.col("text").contains("\n"))
+    plain = _read(spark, sf, "documents").where(F.col("text").rlike("^[A-Za-zÀ-ÿ]") & ~F.col("text").rlike("[^A-Za-zÀ-ÿ,. ]"))
     items = sources.normalize(plain.select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id"), "doc_id")
     nodes, _ = build.build(*build.raw_tables(extract.extract(items)))
     return nodes.where("type = 'chunk'").select(F.col("source_item_id").cast("bigint").alias("doc_id"), "label", "id")

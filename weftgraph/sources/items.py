@@ -126,12 +126,25 @@ def ignored(path: str, patterns: Iterable[str]) -> bool:
     return out
 
 
+def _read_hidden(spark: SparkSession, path: str) -> str:
+    """The text of a file whose name begins with a dot, which readers skip; '' if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def local_files(spark: SparkSession, root: str, extensions: Iterable[str] = EXTENSIONS, ignore_file: str = IGNORE_FILE, additional: Iterable[str] = ()) -> DataFrame:
     """Items of the text files under root, by Spark's binary reader: id is the relative path."""
     base = root.rstrip("/")
     patterns = [*IGNORED, *additional]
-    own = spark.read.format("binaryFile").option("pathGlobFilter", ignore_file).load(base).select(F.decode("content", "UTF-8").alias("t")).limit(1).collect()  # one file at the root
-    patterns += own[0].t.splitlines() if own else []
+    patterns += _read_hidden(spark, f"{base}/{ignore_file}").splitlines()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(extensions) + "}").load(base)
     clean = F.regexp_replace("path", "^[a-z]+:/+", "/")
     prefix = re.sub("^[a-z]+:/+", "/", base) + "/"
