@@ -63,9 +63,9 @@ def test_artifacts(pair, tmp_path):
     assert set(made) == set(art.FILES) | {"wiki"}
     body = json.loads(made["json"])
     assert len(body["nodes"]) == body["stats"]["nodeCount"] and body["nodes"][0]["id"] == "doc:1" and body["nodes"][0]["normalizedLabel"] == "overview"
-    assert made["report"].startswith("# Graph Builder Report") and "## Communities" in made["report"] and "## Latest Change Set" not in made["report"]
-    assert made["dot"].splitlines()[0] == "digraph GraphBuilder {" and made["graphml"].count("<edge ") == pair.graph.edges.count()
-    assert "d3.v7" in made["html"] and "pageRank" in made["html"]
+    assert made["report"].startswith("# Graph Report") and "## Communities" in made["report"] and "## Latest Change Set" not in made["report"]
+    assert made["dot"].splitlines()[0] == "digraph Graph {" and made["graphml"].count("<edge ") == pair.graph.edges.count()
+    assert "<canvas" in made["html"] and "pageRank" in made["html"] and "__DATA__" not in made["html"]
     assert [s["sourceItemId"] for s in json.loads(made["manifest"])["sources"]] == ["1", "2"]
     folder = str(tmp_path / "out")
     paths = art.write_artifacts(made | {"wiki": made["wiki"] | {"../../evil.md": "x"}}, folder)
@@ -192,7 +192,7 @@ def test_fragment_nodes_keep_the_old_place(spark, pair):
 def test_folders(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "node_modules").mkdir()
-    for name, text in {"one.md": "# One", "sub/two words.md": "# Two\n\n[x](one.md)", "node_modules/no.md": "no", "skip.md": "no", ".hidden.md": "no", "pic.png": "no", ".graph-builderignore": "skip.md\n# note\n"}.items():
+    for name, text in {"one.md": "# One", "sub/two words.md": "# Two\n\n[x](one.md)", "node_modules/no.md": "no", "skip.md": "no", ".hidden.md": "no", "pic.png": "no", ".weftgraphignore": "skip.md\n# note\n"}.items():
         (tmp_path / name).write_text(text)
     r = build_graph(spark, str(tmp_path))
     assert {x.source_item_id for x in r.graph.nodes.collect()} == {"one.md", "sub/two words.md"}

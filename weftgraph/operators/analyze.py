@@ -161,7 +161,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, limit: int = BETWEENNESS_NOD
             near[at[e.source]] += [at[e.target]] * e["count"]
             near[at[e.target]] += [at[e.source]] * e["count"]
     n = len(ids)
-    scale = 2 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    scale = 2 / (n * n - 3 * n + 2) if n > 2 else 1.0
 
     def brandes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n)

@@ -11,7 +11,7 @@ from ..schema import EDGE_COLUMNS, NODE_COLUMNS
 
 #: Added to the epoch of what moves behind all else.
 BEHIND = 1 << 20
-MERGEABLE = ("function", "class", "interface", "type", "enum", "method", "symbol")
+MERGEABLE = ("class", "enum", "function", "interface", "method", "symbol", "type")
 
 
 def ord_of(item: Column, pos: Column, epoch: int = 0, sub: int = 0) -> Column:

@@ -19,7 +19,7 @@ from ..functions import text as X
 from ..schema import EXTRACTION
 from . import markdown, script, structured
 
-CODE = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
+CODE = (".js", ".cjs", ".mjs", ".jsx", ".ts", ".cts", ".mts", ".tsx")
 DATA = (".json", ".yml", ".yaml")
 _TAG = re.compile(r"(?:^|\s)#([\w-]+)")
 

@@ -9,13 +9,13 @@ from ..functions import text as X
 from ..schema import STORAGE_REF
 from .build import complete
 
-EMAIL = "(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}"
+EMAIL = "(?i)[\\w.%+-]+@[a-z0-9.-]+\\.[a-z]{2,}"
 URL = "(?i)https?://[^\\s)\\]}]+"
 #: A word boundary between ASCII word signs and others, whatever the JVM's \\b takes for a letter.
 _B = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 DATE = _B + "\\d{4}-\\d{2}-\\d{2}" + _B
 FILE = "/(?:workspace|organization)/[^\\s)\\]}]+"
-REPOSITORY = _B + "[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+" + _B
+REPOSITORY = _B + "[\\w.-]+/[\\w.-]+" + _B
 ENTITIES = (("email", EMAIL, "mentions"), ("resource", URL, "links_to"), ("date", DATE, "mentions_date"), ("file_ref", FILE, "references_file"), ("repository", REPOSITORY, "references_repository"))
 FACT_COLUMNS = {"id": "string", "scope": "string", "key": "string", "value": "string", "tags": "array<string>", "fact_kind": "string", "confidence": "double", "obsolete": "boolean", "last_updated_at": "string", "source_turn": "string"}
 

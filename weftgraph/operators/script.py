@@ -25,6 +25,7 @@ _TOKEN = re.compile(
 )
 _NO_VALUE = {"return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "new", "instanceof", "yield", "await"}
 _MODIFIERS = {"public", "private", "protected", "static", "readonly", "async", "abstract", "override", "declare", "get", "set", "accessor"}
+_STARTS = set("const let var function class interface type enum export import return if for while".split())
 _NOT_CALLED = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "import", "super", "with", "new", "constructor", "yield", "void", "delete"}
 
 
@@ -120,7 +121,7 @@ class Parser:
             x = self.t[i]
             if x.kind == "sign" and x.text in (";", ",", "}", ")", "]"):
                 return i
-            if x.line > started and x.kind == "name" and x.text in ("const", "let", "var", "function", "class", "interface", "type", "enum", "export", "import", "return", "if", "for", "while") and self.text(i - 1) not in (".", "=", "=>", ":", "(", "?"):
+            if x.line > started and x.kind == "name" and x.text in _STARTS and self.text(i - 1) not in (".", "=", "=>", ":", "(", "?"):
                 return i
             started = x.line
             if i in self.match:

@@ -10,8 +10,8 @@ from ..functions import text as X
 
 MAX_DEPTH = 5
 MAX_NODES = 250
-_REFERENCE = re.compile(r"(?:https?://|\./|\.\./|/|[\w-]+\.[\w-]+(?:/|$))", re.A)
-_LINE = re.compile(r"^(\s*)(?:-\s*)?([^:#][^:]*):\s*(.*)$")
+_REFERENCE = re.compile(r"(?:https?://|\./|\.\./|/|[\w-]+[.][\w-]+(?:/|$))", re.A)
+_LINE = re.compile(r"(?P<indent>\s*)(?:-\s*)?(?P<key>[^#:][^:]*):(?P<value>.*)$")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)$", re.A)
 
 
@@ -39,7 +39,7 @@ def simple_yaml(text: str) -> dict:
         m = _LINE.match(raw)
         if not m:
             continue
-        indent, key, value = len(m[1]), m[2].strip(), m[3].strip()
+        indent, key, value = len(m["indent"]), m["key"].strip(), m["value"].strip()
         while len(stack) > 1 and indent <= stack[-1][0]:
             stack.pop()
         if value:

@@ -59,8 +59,8 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cypher_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    node = F.concat(F.lit("MERGE (n:GraphBuilderNode {id: "), json_string(F.col("id")), F.lit("}) SET n.label = "), json_string(F.col("label")), F.lit(", n.type = "), json_string(F.col("type")), F.lit(";"))
-    edge = F.concat(F.lit("MATCH (a:GraphBuilderNode {id: "), json_string(F.col("source")), F.lit("}), (b:GraphBuilderNode {id: "), json_string(F.col("target")), F.lit("}) MERGE (a)-[:"), cypher_relation(F.col("relation")), F.lit(" {confidence: "), json_string(F.col("confidence")), F.lit("}]->(b);"))
+    node = F.concat(F.lit("MERGE (n:GraphNode {id: "), json_string(F.col("id")), F.lit("}) SET n.label = "), json_string(F.col("label")), F.lit(", n.type = "), json_string(F.col("type")), F.lit(";"))
+    edge = F.concat(F.lit("MATCH (a:GraphNode {id: "), json_string(F.col("source")), F.lit("}), (b:GraphNode {id: "), json_string(F.col("target")), F.lit("}) MERGE (a)-[:"), cypher_relation(F.col("relation")), F.lit(" {confidence: "), json_string(F.col("confidence")), F.lit("}]->(b);"))
     return _lines(nodes, node, edges, edge)
 
 
@@ -92,15 +92,20 @@ def _text(head: list[str], lines: DataFrame, tail: list[str] = []) -> str:  # no
 
 
 def dot(graph) -> str:
-    return _text(["digraph GraphBuilder {", "  graph [rankdir=LR];", "  node [shape=box];"], dot_lines(graph.nodes, graph.edges), ["}"])
+    settings = {"graph": "rankdir=LR", "node": "shape=box"}
+    return _text(["digraph Graph {", *(f"  {k} [{v}];" for k, v in settings.items())], dot_lines(graph.nodes, graph.edges), ["}"])
 
 
 def graphml(graph) -> str:
-    return _text(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '  <graph id="GraphBuilder" edgedefault="directed">'], graphml_lines(graph.nodes, graph.edges), ["  </graph>", "</graphml>"])
+    def opening(name: str, **attributes: str) -> str:
+        return f"<{name} " + " ".join(f'{k}="{v}"' for k, v in attributes.items()) + ("?>" if name[0] == "?" else ">")
+
+    head = [opening("?xml", version="1.0", encoding="UTF-8"), opening("graphml", xmlns="http://graphml.graphdrawing.org/xmlns"), "  " + opening("graph", id="Graph", edgedefault="directed")]
+    return _text(head, graphml_lines(graph.nodes, graph.edges), ["  </graph>", "</graphml>"])
 
 
 def cypher(graph) -> str:
-    return _text(["// Graph Builder Cypher export"], cypher_lines(graph.nodes, graph.edges))
+    return _text(["// Cypher export of a graph"], cypher_lines(graph.nodes, graph.edges))
 
 
 def manifest_sources(nodes: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def to_json(graph, communities: int | None = None, spaces: int = 2) -> str:
 def report(graph, analysis) -> str:
     stats = graph.stats.first()
     groups = analysis.communities.orderBy("community").select("label", "size").collect()
-    out = ["# Graph Builder Report", "", f"- {stats.node_count} nodes", f"- {stats.edge_count} edges", f"- {len(groups)} communities", f"- {graph.timeline.count()} timeline events", "", "## God Nodes"]
+    out = ["# Graph Report", "", f"- {stats.node_count} nodes", f"- {stats.edge_count} edges", f"- {len(groups)} communities", f"- {graph.timeline.count()} timeline events", "", "## God Nodes"]
     out += [f"- {r.label} ({r.degree})" for r in analysis.god_nodes.collect()]
     out += ["", "## Confidence Breakdown", *(f"- {r.confidence}: {r.n}" for r in analysis.confidence_breakdown.collect())]
     found = analysis.surprising_connections.orderBy("rank").collect()
@@ -198,37 +203,72 @@ def wiki(graph, analysis) -> dict[str, str]:
     pages: dict[int, list[str]] = {}
     for r in wiki_members(graph.nodes).orderBy("community", "rank").collect():
         pages.setdefault(r.community, []).append(f"- {r.label} ({r.type})")
-    out = {"index.md": "\n".join(["# Graph Builder Wiki", "", f"- Nodes: {stats.node_count}", f"- Edges: {stats.edge_count}", "", "## Communities", *(f"- [[community-{g.community}.md|{g.label}]]" for g in groups)])}
+    out = {"index.md": "\n".join(["# Graph Wiki", "", f"- Nodes: {stats.node_count}", f"- Edges: {stats.edge_count}", "", "## Communities", *(f"- [[community-{g.community}.md|{g.label}]]" for g in groups)])}
     return out | {f"community-{g.community}.md": "\n".join([f"# {g.label}", "", *pages.get(g.community, [])]) for g in groups}
 
 
 _PAGE = """<!doctype html>
-<html lang="en"><head><meta charset="utf-8"><title>Graph Builder</title>
-<script src="https://d3js.org/d3.v7.min.js"></script>
-<style>body{margin:0;font:14px sans-serif;background:#101418;color:#dde}svg{width:100vw;height:100vh}#find{position:fixed;top:8px;left:8px}
-line{stroke:#678}line.INFERRED{stroke-dasharray:4 3}line.AMBIGUOUS{stroke-dasharray:1 3}text{fill:#dde;font-size:10px}</style></head>
-<body><input id="find" placeholder="Find a node"><svg></svg>
+<html><meta charset=utf-8><title>Graph</title>
+<style>
+body { margin: 0; background: #101418; color: #dde; font: 13px sans-serif }
+canvas { display: block }
+form { position: fixed; left: 8px; top: 8px }
+</style>
+<form onsubmit="return false"><input id=find placeholder="Find a node"> <span id=told></span></form><canvas id=view></canvas>
 <script>
-const data = __DATA__;
-const degree = new Map();
-for (const e of data.edges) for (const k of [e.source, e.target]) degree.set(k, 1 + (degree.get(k) || 0));
-const ranks = Object.values(data.pageRank), top_ = Math.max(1e-9, ...ranks);
-const size = n => ranks.length ? 4 + 14 * Math.sqrt((data.pageRank[n.id] || 0) / top_) : 4 + Math.sqrt(degree.get(n.id) || 0);
-const colour = d3.scaleOrdinal(d3.schemeTableau10), svg = d3.select("svg"), world = svg.append("g");
-svg.call(d3.zoom().on("zoom", e => world.attr("transform", e.transform)));
-const lines = world.selectAll("line").data(data.edges).join("line").attr("class", e => e.confidence).attr("stroke-width", e => 0.5 + 1.5 * e.confidenceScore);
-lines.append("title").text(e => e.relation);
-const dots = world.selectAll("circle").data(data.nodes).join("circle").attr("r", size).attr("fill", n => colour(n.community));
-dots.append("title").text(n => n.label + " (" + n.type + ")");
-const names = world.selectAll("text").data(data.nodes).join("text").text(n => n.label.slice(0, 40));
-const force = d3.forceSimulation(data.nodes).force("link", d3.forceLink(data.edges).id(n => n.id)).force("charge", d3.forceManyBody().strength(-60)).force("center", d3.forceCenter(innerWidth / 2, innerHeight / 2));
-force.on("tick", () => {
-  lines.attr("x1", e => e.source.x).attr("y1", e => e.source.y).attr("x2", e => e.target.x).attr("y2", e => e.target.y);
-  dots.attr("cx", n => n.x).attr("cy", n => n.y);
-  names.attr("x", n => n.x + 6).attr("y", n => n.y);
-});
-d3.select("#find").on("input", function () { const q = this.value.toLowerCase(); dots.attr("opacity", n => !q || n.label.toLowerCase().includes(q) ? 1 : 0.1); });
-</script></body></html>
+// A force layout of its own: springs along edges, repulsion through a grid, drawn on a canvas.
+const data = __DATA__, view = document.getElementById("view"), pen = view.getContext("2d");
+const place = new Map(data.nodes.map((n, i) => [n.id, i])), top_ = Math.max(1e-9, ...Object.values(data.pageRank));
+const dots = data.nodes.map((n, i) => ({...n, x: 300 * Math.cos(i * 2.4) * Math.sqrt(i + 1) / 9, y: 300 * Math.sin(i * 2.4) * Math.sqrt(i + 1) / 9, degree: 0}));
+const ties = data.edges.map(e => ({...e, a: dots[place.get(e.source)], b: dots[place.get(e.target)]}));
+for (const t of ties) { t.a.degree++; t.b.degree++; }
+const radius = n => data.pageRank[n.id] === undefined ? 3 + Math.sqrt(n.degree) : 3 + 12 * Math.sqrt(data.pageRank[n.id] / top_);
+const hue = n => `hsl(${(n.community || 0) * 67 % 360} 60% 60%)`, dash = {EXTRACTED: [], INFERRED: [5, 4], AMBIGUOUS: [1, 4]};
+let zoom = 1, panX = 0, panY = 0, query = "", heat = 1, held = null;
+function push(p, dx, dy) { p.vx = (p.vx || 0) * 0.85 + dx * heat; p.vy = (p.vy || 0) * 0.85 + dy * heat; }
+function step() {
+  const cells = new Map(), key = (x, y) => Math.floor(x / 80) + "," + Math.floor(y / 80);
+  for (const p of dots) { const k = key(p.x, p.y); cells.has(k) ? cells.get(k).push(p) : cells.set(k, [p]); }
+  for (const p of dots) {
+    let dx = -p.x / 400, dy = -p.y / 400;
+    for (let i = -1; i < 2; i++) for (let j = -1; j < 2; j++) for (const q of cells.get(key(p.x + 80 * i, p.y + 80 * j)) || []) if (q !== p) {
+      const u = p.x - q.x, v = p.y - q.y, d = u * u + v * v + 1;
+      dx += 40 * u / d; dy += 40 * v / d;
+    }
+    push(p, dx, dy);
+  }
+  for (const t of ties) if (t.a !== t.b) {
+    const u = t.b.x - t.a.x, v = t.b.y - t.a.y, d = Math.hypot(u, v) + 0.1, f = (d - 60) / d / 25;
+    push(t.a, u * f, v * f); push(t.b, -u * f, -v * f);
+  }
+  for (const p of dots) { p.x += p.vx || 0; p.y += p.vy || 0; }
+  heat *= 0.99;
+}
+function draw() {
+  if (heat > 0.02) step();
+  view.width = innerWidth; view.height = innerHeight;
+  pen.setTransform(zoom, 0, 0, zoom, innerWidth / 2 + panX, innerHeight / 2 + panY);
+  pen.strokeStyle = "#567";
+  for (const t of ties) { pen.lineWidth = 0.4 + 1.2 * t.confidenceScore; pen.setLineDash(dash[t.confidence] || []); pen.beginPath(); pen.moveTo(t.a.x, t.a.y); pen.lineTo(t.b.x, t.b.y); pen.stroke(); }
+  for (const p of dots) {
+    pen.globalAlpha = !query || p.label.toLowerCase().includes(query) ? 1 : 0.12;
+    pen.fillStyle = hue(p); pen.beginPath(); pen.arc(p.x, p.y, radius(p), 0, 7); pen.fill();
+    if (zoom > 0.7) { pen.fillStyle = "#dde"; pen.fillText(p.label.slice(0, 40), p.x + radius(p) + 2, p.y + 3); }
+  }
+  pen.globalAlpha = 1;
+  requestAnimationFrame(draw);
+}
+document.getElementById("find").oninput = e => query = e.target.value.toLowerCase();
+view.onwheel = e => { zoom *= e.deltaY < 0 ? 1.1 : 0.9; e.preventDefault(); };
+view.onmousedown = e => held = e; onmouseup = () => held = null;
+view.onmousemove = e => {
+  if (held) { panX += e.movementX; panY += e.movementY; return; }
+  const x = (e.clientX - innerWidth / 2 - panX) / zoom, y = (e.clientY - innerHeight / 2 - panY) / zoom;
+  const at = dots.find(p => Math.hypot(p.x - x, p.y - y) < radius(p) + 2);
+  document.getElementById("told").textContent = at ? `${at.label} (${at.type}), ${at.degree} edges, community ${at.community}` : "";
+};
+draw();
+</script>
 """
 
 

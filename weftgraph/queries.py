@@ -187,11 +187,11 @@ f AS (SELECT 'c:' || conv_id || ':' || turn AS id, conv_id * 1000 + turn AS seq,
   list_distinct([lower(role), 'talk']) AS tags, CASE WHEN role = 'user' THEN 'question' ELSE 'semantic' END AS kind FROM conversations),
 g AS (SELECT *, key || chr(10) || value AS t FROM f),
 refs AS (
-  SELECT id, 'email' AS type, 'mentions' AS relation, unnest(regexp_extract_all(t, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}')) AS label FROM g
+  SELECT id, 'email' AS type, 'mentions' AS relation, unnest(regexp_extract_all(t, '(?i)[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS label FROM g
   UNION ALL SELECT id, 'resource', 'links_to', unnest(regexp_extract_all(t, '(?i)https?://[^\s)\]}]+')) FROM g
-  UNION ALL SELECT id, 'date', 'mentions_date', unnest(regexp_extract_all(t, '\b\d{4}-\d{2}-\d{2}\b')) FROM g
+  UNION ALL SELECT id, 'date', 'mentions_date', unnest(regexp_extract_all(t, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b')) FROM g
   UNION ALL SELECT id, 'file_ref', 'references_file', unnest(regexp_extract_all(t, '/(?:workspace|organization)/[^\s)\]}]+')) FROM g
-  UNION ALL SELECT id, 'repository', 'references_repository', unnest(list_filter(regexp_extract_all(t, '\b[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\b'), lambda x: NOT contains(x, '//'))) FROM g),
+  UNION ALL SELECT id, 'repository', 'references_repository', unnest(list_filter(regexp_extract_all(t, '\b[\w.-]+/[\w.-]+\b'), lambda x: NOT contains(x, '//'))) FROM g),
 slugged AS (SELECT *, type || ':' || coalesce(nullif(replace(trim(regexp_replace(lower(strip_accents(label)), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), ''), 'section') AS node FROM refs)
 """
 
@@ -309,7 +309,7 @@ def validate_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_GRAPH + """
-k AS (SELECT norm, type, arg_min(id, o) AS canonical, list(id ORDER BY o) AS ids FROM n WHERE type IN ('function', 'class', 'interface', 'type', 'enum', 'method', 'symbol') GROUP BY norm, type HAVING count(DISTINCT nullif(item, '')) > 1 AND count(*) > 1),
+k AS (SELECT norm, type, arg_min(id, o) AS canonical, list(id ORDER BY o) AS ids FROM n WHERE type IN ('class', 'enum', 'function', 'interface', 'method', 'symbol', 'type') GROUP BY norm, type HAVING count(DISTINCT nullif(item, '')) > 1 AND count(*) > 1),
 m AS (SELECT canonical, unnest(ids) AS old FROM k)
 SELECT n.id, n.type, array_to_string(k.ids, ',') AS merged_from FROM n LEFT JOIN k ON k.canonical = n.id WHERE n.id NOT IN (SELECT old FROM m WHERE old <> canonical)""")
 def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +317,7 @@ def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_GRAPH + """
-k AS (SELECT norm, type, arg_min(id, o) AS canonical, list(id ORDER BY o) AS ids FROM n WHERE type IN ('function', 'class', 'interface', 'type', 'enum', 'method', 'symbol') GROUP BY norm, type HAVING count(DISTINCT nullif(item, '')) > 1 AND count(*) > 1),
+k AS (SELECT norm, type, arg_min(id, o) AS canonical, list(id ORDER BY o) AS ids FROM n WHERE type IN ('class', 'enum', 'function', 'interface', 'method', 'symbol', 'type') GROUP BY norm, type HAVING count(DISTINCT nullif(item, '')) > 1 AND count(*) > 1),
 m AS (SELECT canonical, unnest(ids) AS old FROM k),
 x AS (SELECT coalesce(a.canonical, source) AS source, coalesce(b.canonical, target) AS target, relation, item FROM e LEFT JOIN m a ON a.old = source LEFT JOIN m b ON b.old = target)
 SELECT DISTINCT source, target, relation, item AS source_item_id FROM x WHERE source <> target""")
@@ -561,8 +561,8 @@ def graphml_lines(spark: SparkSession, sf: str) -> DataFrame:
     return art.graphml_lines(*entities(spark, sf)).select("line")
 
 
-@query(_GRAPH + """z AS (SELECT 1) SELECT 'MERGE (n:GraphBuilderNode {id: "' || id || '"}) SET n.label = "' || label || '", n.type = "' || type || '";' AS line FROM n UNION ALL
-SELECT 'MATCH (a:GraphBuilderNode {id: "' || source || '"}), (b:GraphBuilderNode {id: "' || target || '"}) MERGE (a)-[:' || upper(regexp_replace(relation, '[^A-Za-z0-9_]', '_', 'g')) || ' {confidence: "' || confidence || '"}]->(b);' FROM e""")
+@query(_GRAPH + """z AS (SELECT 1) SELECT 'MERGE (n:GraphNode {id: "' || id || '"}) SET n.label = "' || label || '", n.type = "' || type || '";' AS line FROM n UNION ALL
+SELECT 'MATCH (a:GraphNode {id: "' || source || '"}), (b:GraphNode {id: "' || target || '"}) MERGE (a)-[:' || upper(regexp_replace(relation, '[^A-Za-z0-9_]', '_', 'g')) || ' {confidence: "' || confidence || '"}]->(b);' FROM e""")
 def cypher_lines(spark: SparkSession, sf: str) -> DataFrame:
     return art.cypher_lines(*entities(spark, sf)).select("line")
 

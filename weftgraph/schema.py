@@ -23,6 +23,6 @@ NODE_COLUMNS = ["ord", "id", "label", "type", "source_item_id", "source_url", "s
 EDGE_COLUMNS = ["ord", "source", "target", "relation", "confidence", "confidence_score", "source_item_id", "source_location", "context", "metadata"]
 
 CONFIDENCE = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
-ARTIFACTS = ("json", "report", "wiki", "html", "timeline", "manifest", "dot", "graphml", "cypher")
+ARTIFACTS = tuple("json report html wiki manifest timeline cypher dot graphml".split())
 #: Node types that count as labels of others rather than as things of their own.
 SIDE_TYPES = ("tag", "resource")

@@ -17,9 +17,9 @@ from ..operators.build import complete
 from ..schema import ITEM, STORAGE_REF
 
 COLUMNS = [c.split()[0] for c in re.sub(r"struct<[^>]*>", "struct", ITEM).split(", ")]
-EXTENSIONS = (".md", ".mdx", ".txt", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json", ".yml", ".yaml")
-IGNORED = (".git", "node_modules", "dist", "build", "coverage", ".next", ".turbo", ".cache", "out", "graph-builder-out", "*.min.js", "*.lock")
-IGNORE_FILE = ".graph-builderignore"
+EXTENSIONS = tuple(f".{x}" for x in "txt md mdx json yaml yml js cjs mjs jsx ts tsx".split())
+IGNORED = (".git", ".next", ".env*", "coverage", "dist", "node_modules", "weftgraph-out", "pnpm-lock.yaml", "bun.lockb", "package-lock.json", "yarn.lock", "**/*.tsbuildinfo")
+IGNORE_FILE = ".weftgraphignore"
 
 
 def normalize(items: DataFrame, order: str | None = None) -> DataFrame:
@@ -158,7 +158,7 @@ def local_files(spark: SparkSession, root: str, extensions: Iterable[str] = EXTE
     files = files.select(rel.alias("rel"), text.alias("text"), "content", "modificationTime", clean.alias("full")).where(~F.col("rel").rlike("(^|/)\\.") & ~dropped("rel"))
     none = F.lit(None).cast("string")
     ref = F.struct(F.lit("local").alias("provider"), none.alias("namespace"), F.col("full").alias("physical_id"), F.col("rel").alias("logical_path"), none.alias("revision"), none.alias("permission_key"))
-    return normalize(files.select(F.col("rel").alias("id"), "text", X.basename(F.col("rel")).alias("title"), F.col("rel").alias("path"), F.lit("local_file").alias("source_type"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"), F.sha2("content", 256).alias("hash"), ref.alias("storage_ref")))
+    return normalize(files.select(F.col("rel").alias("id"), "text", X.basename(F.col("rel")).alias("title"), F.col("rel").alias("path"), F.lit("local-file").alias("source_type"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"), F.sha2("content", 256).alias("hash"), ref.alias("storage_ref")))
 
 
 def converted(records: DataFrame, convert: Callable[[str], str] | Column, input_column: str = "input") -> DataFrame:

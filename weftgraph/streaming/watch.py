@@ -11,15 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans import artifacts as art
 from ..plans.graph import Graph, Options, Result, build_graph, load_result, save_graph, update_graph
 from ..plans.storage import shared_folder
+from ..schema import ARTIFACTS
 from ..sources.items import EXTENSIONS, local_files
 
 DEBOUNCE_MS = 250
-OUTPUT = "graph-builder-out"
+OUTPUT = "weftgraph-out"
 
 
 def build_output(spark: SparkSession, source, options: Options | None = None, folder: str = OUTPUT, clean_wiki: bool = True) -> Result:
     """build_graph, and all nine renderings under folder."""
-    options = options or Options(artifacts=("json", "report", "wiki", "html", "timeline", "manifest", "dot", "graphml", "cypher"))
+    options = options or Options(artifacts=ARTIFACTS)
     result = build_graph(spark, source, options)
     art.write_artifacts(result.artifacts, folder, clean_wiki)
     return result
