@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -36,6 +36,20 @@ def fact_items(facts: DataFrame) -> DataFrame:
     return f.select(id_.alias("id"), text.alias("text"), F.col("key").alias("title"), F.lit("memory_fact").alias("source_type"), F.col("last_updated_at").alias("updated_at"), about.alias("metadata"), ref.alias("storage_ref"))
 
 
+class FactProvider:
+    """A provider of fact items; `changes` gives the facts updated after a cursor."""
+
+    def __init__(self, facts: DataFrame):
+        self.facts = facts
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return fact_items(self.facts)
+
+    def changes(self, spark: SparkSession, cursor: str | None) -> DataFrame:
+        items = fact_items(self.facts)
+        return items if cursor is None else items.where(F.col("updated_at") > cursor)
+
+
 def entity_refs(text: Column) -> Column:
     """array<struct<type, label, relation>> of the e-mails, URLs, dates, files and repositories in text."""
 

@@ -76,6 +76,12 @@ def neighbors(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     return met.join(nodes.select(F.col("id").alias("_to"), "label", "type"), "_to").withColumnRenamed("_to", "id")
 
 
+def index(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Lookup tables: nodes by id, edges by either end (a loop once for each), nodes by source."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id"), *[F.col(c) for c in edges.columns])
+    return {"nodes_by_id": nodes, "edges_by_node_id": ends, "nodes_by_source_item_id": nodes.where("source_item_id <> ''")}
+
+
 def community_nodes(nodes: DataFrame, community: int) -> DataFrame:
     return nodes.where(F.col("community") == community)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -139,6 +140,18 @@ class Result:
         """The renderings asked for; JSON and the report are always among them."""
         return art.render(self.graph, self.analysis, tuple(dict.fromkeys(("json", "report", *self.options.artifacts))))
 
+    @cached_property
+    def index(self) -> dict[str, DataFrame]:
+        return finding.index(self.graph.nodes, self.graph.edges)
+
+    def to_json(self, spaces: int = 2) -> str:
+        """Graph, analysis, renderings and diagnostics as one object that load_result reads."""
+        a = self.analysis
+        parts = {"god_nodes": a.god_nodes, "isolated_nodes": a.isolated_nodes, "surprising_connections": a.surprising_connections.orderBy("rank"), "communities": a.communities.orderBy("community"), "bridge_nodes": a.bridge_nodes, "page_rank": a.page_rank, "confidence_breakdown": a.confidence_breakdown}
+        analysis = {art.camel(k): [{art.camel(x): y for x, y in r.asDict().items()} for r in df.collect()] for k, df in parts.items()}
+        about = {art.camel(k): v for k, v in vars(self.diagnostics).items()}
+        return json.dumps({"graph": json.loads(self.artifacts["json"]), "analysis": analysis, "artifacts": self.artifacts, "diagnostics": about}, indent=spaces, ensure_ascii=False)
+
     def search(self, query: str) -> DataFrame:
         return finding.score_nodes(self.graph.nodes, query)
 

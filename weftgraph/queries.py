@@ -5,6 +5,7 @@ edges. The link graph has pages as documents and what they link to as resources.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import analyze, build, extract, facts, history, search
 from .plans import artifacts as art
+from .plans.graph import build_graph, save_graph
 from .sources import items as sources
+from .streaming.watch import current, follow
 
 STAMP = "2024-01-01T00:00:00.000Z"
 Tables = tuple[DataFrame, DataFrame]
@@ -616,6 +619,27 @@ def script_extract(spark: SparkSession, sf: str) -> DataFrame:
     return build.build(*build.raw_tables(extract.extract(items)))[0].groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(_GRAPH + "z AS (SELECT 1) SELECT source AS node_id, source, target, relation FROM e UNION ALL SELECT target, source, target, relation FROM e")
+def index_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return search.index(*entities(spark, sf))["edges_by_node_id"].select("node_id", "source", "target", "relation")
+
+
+@query("SELECT 'doc:' || r_regionkey AS id, r_name AS label FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 'doc:n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'doc:' || r_regionkey || ':chunk:0', 'Region ' || r_name FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 'doc:n' || n_nationkey || ':chunk:0', 'Nation of ' || n_regionkey FROM nation")
+def stream_follow(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions are a graph; a stream of nations adds to it and deletes the first region."""
+    from .plans.storage import shared_folder
+
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    region = _read(spark, sf, "region")
+    save_graph(build_graph(spark, region.select(F.col("r_regionkey").cast("string").alias("id"), F.concat(F.lit("Region "), "r_name").alias("text"), F.col("r_name").alias("title"))).graph, f"{home}/v0")
+    n = spark.readStream.schema(_read(spark, sf, "nation").schema).option("pathGlobFilter", "nation.parquet").parquet(sf)
+    upsert = F.struct(_id("n", "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.concat(F.lit("Nation of "), F.col("n_regionkey").cast("string")).alias("text"), F.lit(False).alias("deleted"))
+    gone = F.struct(F.lit("0").alias("id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"))
+    changes = n.select(F.inline(F.array(upsert, gone)), F.col("n_nationkey").alias("changed_at")).withColumn("id", F.regexp_replace("id", "^n:", "n"))
+    follow(changes, home, f"{home}/checkpoint", once=True).awaitTermination()
+    return current(spark, home, 1).nodes.select("id", "label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -171,3 +171,13 @@ def converted(records: DataFrame, convert: Callable[[str], str] | Column, input_
         return values.map(convert)
 
     return records.withColumn("text", run(F.col(input_column))).drop(input_column)
+
+
+class ConvertedProvider:
+    """A provider of records whose text a converter makes when they are read."""
+
+    def __init__(self, records: DataFrame, convert: Callable[[str], str] | Column, input_column: str = "input"):
+        self.records, self.convert, self.input_column = records, convert, input_column
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return converted(self.records, self.convert, self.input_column)
