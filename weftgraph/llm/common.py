@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters held decoded at once. A longer text makes a chunk of its own, so none is cut.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
