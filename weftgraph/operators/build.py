@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..plans.storage import stored
 from ..schema import EDGE_COLUMNS, NODE_COLUMNS
 
 #: Added to the epoch of what moves behind all else.
@@ -85,8 +86,10 @@ def inferred_references(edges: DataFrame, nodes: DataFrame, fix_extension_alias:
 
 def build(nodes: DataFrame, edges: DataFrame, fix_extension_alias: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph from raw tables: labels cleaned, duplicates and dangling edges gone,
-    references inferred right behind the link that gave them."""
-    nodes = finished_nodes(nodes)
+    references inferred right behind the link that gave them.
+
+    Finished nodes are written before edges are held against them, as four joins read them."""
+    nodes = stored(finished_nodes(nodes), "nodes")
     edges = with_endpoints(complete(edges, EDGE_COLUMNS), nodes)
     return nodes, dedupe_edges(edges.unionByName(inferred_references(edges, nodes, fix_extension_alias)))
 

@@ -76,17 +76,19 @@ def extract_facts(items: DataFrame) -> DataFrame:
     def slug(prefix: Column, label: Column) -> Column:
         return F.concat(prefix, F.lit(":"), X.slugify(label))
 
+    def firsts(entries: str) -> Column:
+        """The first entry of each node id; the array is walked once."""
+        start = F.slice(entries, 1, 0)
+        return F.aggregate(entries, start, lambda acc, x: F.when(F.exists(acc, lambda y: y["node"] == x["node"]), acc).otherwise(F.concat(acc, F.array(x))))
+
     df = df.withColumn("_fact", F.concat(F.lit("fact:"), F.col("id")))
     # each slug is made once and then referred to
     df = df.withColumn("_kind_id", slug(F.lit("fact_kind"), F.col("_kind")))
     df = df.withColumn("_tags", F.transform("_tags", lambda t: F.struct(t.alias("label"), slug(F.lit("tag"), t).alias("node"))))
     df = df.withColumn("_refs", F.transform("_refs", lambda r: F.struct(r["type"].alias("type"), r["label"].alias("label"), r["relation"].alias("relation"), slug(r["type"], r["label"]).alias("node"))))
     fact = node(F.col("_fact"), F.col("_key"), F.when(F.coalesce("_m.obsolete", F.lit(False)), "obsolete_memory_fact").otherwise("memory_fact"), F.col("id"), metadata=F.col("metadata"), ref=F.col("storage_ref").cast(STORAGE_REF))
-    tag_nodes = F.transform("_tags", lambda t: node(t["node"], t["label"], F.lit("tag"), metadata=F.to_json(F.struct(t["label"].alias("tag")))))
-    ref_nodes = F.transform("_refs", lambda r: node(r["node"], r["label"], r["type"], path=F.when(r["type"] == "file_ref", r["label"]), href=F.when(r["type"] == "resource", r["label"])))
+    tag_nodes = F.transform(firsts("_tags"), lambda t: node(t["node"], t["label"], F.lit("tag"), metadata=F.to_json(F.struct(t["label"].alias("tag")))))
+    ref_nodes = F.transform(firsts("_refs"), lambda r: node(r["node"], r["label"], r["type"], path=F.when(r["type"] == "file_ref", r["label"]), href=F.when(r["type"] == "resource", r["label"])))
     nodes = F.concat(F.array(fact, node(F.col("_kind_id"), F.col("_kind"), F.lit("fact_kind"))), tag_nodes, ref_nodes)
     edges = F.concat(F.array(edge(F.col("_kind_id"), F.lit("classified_as"))), F.transform("_tags", lambda t: edge(t["node"], F.lit("tagged_with"))), F.transform("_refs", lambda r: edge(r["node"], r["relation"])))
-    out = df.select(F.col("item_seq").cast("bigint").alias("item_seq"), F.col("id").alias("item_id"), nodes.alias("nodes"), edges.alias("edges"), none.alias("error"))
-    # of the nodes that one fact names twice the first stays
-    out = out.withColumn("_ids", F.transform("nodes", lambda x: x["id"]))
-    return out.withColumn("nodes", F.filter("nodes", lambda n, i: F.array_position("_ids", n["id"]) == i + 1)).drop("_ids")
+    return df.select(F.col("item_seq").cast("bigint").alias("item_seq"), F.col("id").alias("item_id"), nodes.alias("nodes"), edges.alias("edges"), none.alias("error"))

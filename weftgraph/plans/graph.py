@@ -233,7 +233,7 @@ def build_graph(spark: SparkSession, source, options: Options | None = None, ord
     _timed(diagnostics, "extract", since)
     since = time.time()
     nodes, edges = build.build(*build.raw_tables(rows), options.fix_extension_alias)
-    nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
+    edges = stored(edges, "edges")
     # the first snapshot is of the graph as built, before entities are resolved
     snapshots = history.snapshot(nodes, edges, "build", stamp)
     timeline = history.initial_timeline(items, rows, stamp)

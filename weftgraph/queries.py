@@ -15,6 +15,7 @@ from .functions import text as X
 from .operators import analyze, build, extract, facts, history, search
 from .plans import artifacts as art
 from .plans.graph import build_graph, save_graph
+from .plans.storage import shared_folder, stored
 from .sources import items as sources
 from .streaming.watch import current, follow
 
@@ -30,6 +31,11 @@ def _id(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix + ":"), F.col(key).cast("string"))
 
 
+def _built(extracted: DataFrame) -> Tables:
+    """The graph of extraction rows; these are written first, as nodes and edges both come from them."""
+    return build.build(*build.raw_tables(stored(extracted, "extracted")))
+
+
 def raw_entities(spark: SparkSession, sf: str) -> Tables:
     """Raw node and edge tables: tag nodes repeat for each order, line items repeat their edges."""
     t = {n: _read(spark, sf, n) for n in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
@@ -210,14 +216,14 @@ def fact_entities(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT 'fact:' || id AS id, 'memory_fact' AS type FROM f UNION SELECT 'fact_kind:' || kind, 'fact_kind' FROM f
 UNION SELECT 'tag:' || unnest(tags), 'tag' FROM f UNION SELECT node, type FROM slugged""")
 def fact_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return build.build(*build.raw_tables(facts.extract_facts(_facts(spark, sf))))[0].select("id", "type")
+    return _built(facts.extract_facts(_facts(spark, sf)))[0].select("id", "type")
 
 
 @query("WITH " + _FACT_SQL + """
 SELECT DISTINCT 'fact:' || id AS source, 'fact_kind:' || kind AS target, 'classified_as' AS relation FROM f
 UNION SELECT 'fact:' || id, 'tag:' || unnest(tags), 'tagged_with' FROM f UNION SELECT 'fact:' || id, node, relation FROM slugged""")
 def fact_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return build.build(*build.raw_tables(facts.extract_facts(_facts(spark, sf))))[1].select("source", "target", "relation")
+    return _built(facts.extract_facts(_facts(spark, sf)))[1].select("source", "target", "relation")
 
 
 # -- the link graph --
@@ -591,7 +597,7 @@ def doc_chunks_basic(spark: SparkSession, sf: str) -> DataFrame:
     # texts of one line of plain words: any engine agrees that they are one paragraph
     plain = _read(spark, sf, "documents").where(F.col("text").rlike("^[A-Za-zÀ-ÿ]") & ~F.col("text").rlike("[^A-Za-zÀ-ÿ,. ]"))
     items = sources.normalize(plain.select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id"), "doc_id")
-    nodes, _ = build.build(*build.raw_tables(extract.extract(items)))
+    nodes, _ = _built(extract.extract(items))
     return nodes.where("type = 'chunk'").select(F.col("source_item_id").cast("bigint").alias("doc_id"), "label", "id")
 
 
@@ -599,14 +605,14 @@ def doc_chunks_basic(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'doc:' || event_id, event_id || '.json', 'data_file', event_id::VARCHAR FROM events""")
 def schema_walk(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf, "events", F.col("event_id").cast("string"), F.col("props"), F.concat(F.col("event_id").cast("string"), F.lit(".json")), "event_id")
-    return build.build(*build.raw_tables(extract.extract(items)))[0].select("id", "label", "type", "source_item_id")
+    return _built(extract.extract(items))[0].select("id", "label", "type", "source_item_id")
 
 
 @query()
 def markdown_extract(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.col("text"), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n- see [the next]("), (F.col("doc_id") + 1).cast("string"), F.lit(") #"), F.col("lang"), F.lit("\n"))
     items = _items(spark, sf, "documents", F.col("doc_id").cast("string"), text, F.concat(F.lit("docs/"), F.col("doc_id").cast("string")), "doc_id")
-    nodes, edges = build.build(*build.raw_tables(extract.extract(items)))
+    nodes, edges = _built(extract.extract(items))
     kinds = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), F.col("type").alias("kind"), "n")
     return kinds.unionByName(edges.groupBy("relation").agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), F.col("relation").alias("kind"), "n"))
 
@@ -616,7 +622,7 @@ def script_extract(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit('import { x } from "'), F.col("p_brand"), F.lit('";\nimport y from "./part'), k, F.lit('";\nexport class Part'), k, F.lit(" { price() { return run"), k, F.lit("(); } }\nexport function run"), k, F.lit("() { return 1; }\n"))
     items = _items(spark, sf, "part", F.concat(F.lit("p"), k), text, F.concat(F.lit("src/p"), k, F.lit(".ts")), "p_partkey")
-    return build.build(*build.raw_tables(extract.extract(items)))[0].groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+    return _built(extract.extract(items))[0].groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(_GRAPH + "z AS (SELECT 1) SELECT source AS node_id, source, target, relation FROM e UNION ALL SELECT target, source, target, relation FROM e")
@@ -627,8 +633,6 @@ def index_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'doc:' || r_regionkey AS id, r_name AS label FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 'doc:n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'doc:' || r_regionkey || ':chunk:0', 'Region ' || r_name FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 'doc:n' || n_nationkey || ':chunk:0', 'Nation of ' || n_regionkey FROM nation")
 def stream_follow(spark: SparkSession, sf: str) -> DataFrame:
     """Regions are a graph; a stream of nations adds to it and deletes the first region."""
-    from .plans.storage import shared_folder
-
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     region = _read(spark, sf, "region")
     save_graph(build_graph(spark, region.select(F.col("r_regionkey").cast("string").alias("id"), F.concat(F.lit("Region "), "r_name").alias("text"), F.col("r_name").alias("title"))).graph, f"{home}/v0")
