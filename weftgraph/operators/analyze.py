@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..plans.storage import cut
+from ..plans.storage import cut, numbered
 from ..schema import CONFIDENCE, SIDE_TYPES
 
 TOP_N = 10
@@ -88,21 +88,33 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def community_members(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members(id, community), summary(community, label, size)), numbered from the largest. The
+    label is that of the first member that is no tag or resource."""
+    root = cut(components(nodes, edges))
+    main = ~F.coalesce("type", F.lit("")).isin(*SIDE_TYPES)
+    label = F.min_by(F.when(main, F.col("label")), F.when(main, F.col("ord")))
+    found = nodes.select("ord", "id", "label", "type").join(root, "id").groupBy("root").agg(F.count("*").alias("size"), F.min("ord").alias("first"), F.coalesce(label, F.lit("Community")).alias("label"))
+    groups = numbered(found, F.desc("size"), "first", name="community").withColumn("community", F.col("community").cast("int"))
+    return root.join(groups.select("root", "community"), "root").select("id", "community"), groups.select("community", "label", "size")
+
+
+def with_node_ids(summary: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """summary with the ids of each community in the order of nodes, as one array: for graphs whose
+    largest component fits in a row."""
+    ids = nodes.select("ord", "id").join(members, "id").groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("node_ids"))
+    return summary.join(ids, "community").select("community", "label", "size", "node_ids")
+
+
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(community, label, size, node_ids), largest first; node_ids in the order of nodes. The label is
-    that of the first member that is no tag or resource."""
-    member = nodes.select("ord", "id", "label", "type").join(components(nodes, edges), "id")
-    label = F.min_by(F.when(~F.coalesce("type", F.lit("")).isin(*SIDE_TYPES), F.col("label")), F.when(~F.coalesce("type", F.lit("")).isin(*SIDE_TYPES), F.col("ord")))
-    grouped = member.groupBy("root").agg(F.count("*").alias("size"), F.min("ord").alias("first"), F.coalesce(label, F.lit("Community")).alias("label"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("node_ids"))
-    # numbers need one order over all components: (root, size, first) is all that goes to one task
-    number = grouped.select("root", (F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1).alias("community"))
-    return grouped.join(number, "root").select("community", "label", "size", "node_ids")
-
-
-def assign_communities(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """nodes with the community of each."""
-    of = groups.select(F.col("community").alias("_c"), F.explode("node_ids").alias("id"))
-    return nodes.join(of, "id", "left").withColumn("community", F.col("_c")).select(*nodes.columns)
+    """(community, label, size, node_ids), largest first."""
+    members, summary = community_members(nodes, edges)
+    return with_node_ids(summary, nodes, members)
+
+
+def assign_communities(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """nodes with the community of each, by members(id, community)."""
+    return nodes.join(members.select("id", F.col("community").alias("_c")), "id", "left").withColumn("community", F.col("_c")).select(*nodes.columns)
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import history
+from .storage import numbered
 
 LABELS = 8
 WIKI_MEMBERS = 25
@@ -64,17 +65,6 @@ def cypher_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _lines(nodes, node, edges, edge)
 
 
-def numbered(edges: DataFrame) -> DataFrame:
-    """edges with their place in the order, by sorted ranges: counts of the ranges are all that one
-    task sees."""
-    from ..plans.storage import stored
-
-    spread = stored(edges.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_p", F.spark_partition_id()), "ranges")
-    before = spread.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(W.orderBy("_p")) - F.col("n")).drop("n")
-    local = F.row_number().over(W.partitionBy("_p").orderBy("ord")) - 1
-    return spread.withColumn("_local", local).join(F.broadcast(before), "_p").withColumn("index", F.col("_before") + F.col("_local")).drop("_p", "_before", "_local")  # a row a range
-
-
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def x(c: str) -> Column:
         return escape_xml(F.coalesce(c, F.lit("")))
@@ -84,7 +74,7 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     node = F.concat(F.lit('    <node id="'), x("id"), F.lit('">'), data("label", "label"), data("type", "type"), F.lit("</node>"))
     edge = F.concat(F.lit('    <edge id="e'), F.col("index").cast("string"), F.lit('" source="'), x("source"), F.lit('" target="'), x("target"), F.lit('">'), data("relation", "relation"), data("confidence", "confidence"), F.lit("</edge>"))
-    return _lines(nodes, node, numbered(edges), edge)
+    return _lines(nodes, node, numbered(edges, "ord"), edge)
 
 
 def _text(head: list[str], lines: DataFrame, tail: list[str] = []) -> str:  # noqa: B006

@@ -71,6 +71,7 @@ class Analysis:
 
     nodes: DataFrame
     edges: DataFrame
+    #: (community, label, size); the members of each are the nodes of that community
     communities: DataFrame
     top_n: int = analyze.TOP_N
 
@@ -147,7 +148,7 @@ class Result:
     def to_json(self, spaces: int = 2) -> str:
         """Graph, analysis, renderings and diagnostics as one object that load_result reads."""
         a = self.analysis
-        parts = {"god_nodes": a.god_nodes, "isolated_nodes": a.isolated_nodes, "surprising_connections": a.surprising_connections.orderBy("rank"), "communities": a.communities.orderBy("community"), "bridge_nodes": a.bridge_nodes, "page_rank": a.page_rank, "confidence_breakdown": a.confidence_breakdown}
+        parts = {"god_nodes": a.god_nodes, "isolated_nodes": a.isolated_nodes, "surprising_connections": a.surprising_connections.orderBy("rank"), "communities": analyze.with_node_ids(a.communities, a.nodes, a.nodes.select("id", "community")).orderBy("community"), "bridge_nodes": a.bridge_nodes, "page_rank": a.page_rank, "confidence_breakdown": a.confidence_breakdown}
         analysis = {art.camel(k): [{art.camel(x): y for x, y in r.asDict().items()} for r in df.collect()] for k, df in parts.items()}
         about = {art.camel(k): v for k, v in vars(self.diagnostics).items()}
         return json.dumps({"graph": json.loads(self.artifacts["json"]), "analysis": analysis, "artifacts": self.artifacts, "diagnostics": about}, indent=spaces, ensure_ascii=False)
@@ -218,8 +219,8 @@ def _enriched(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None,
 
 def _finished(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
     nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
-    groups = stored(analyze.communities(nodes, edges), "communities")
-    return stored(analyze.assign_communities(nodes, groups), "nodes"), edges, hyperedges, groups
+    members, groups = analyze.community_members(nodes, edges)
+    return stored(analyze.assign_communities(nodes, members), "nodes"), edges, hyperedges, stored(groups, "communities")
 
 
 def build_graph(spark: SparkSession, source, options: Options | None = None, order: str | None = None) -> Result:
@@ -305,8 +306,8 @@ def load_result(spark: SparkSession, path: str, options: Options | None = None)
         about = spark.read.parquet(f"{path}/about").first()
         parts = {n: spark.read.parquet(f"{path}/{n}") for n in about.parts.split(",")}
         graph = Graph(parts["nodes"], parts["edges"], about.created_at, about.updated_at, parts["timeline"], parts["snapshots"], parts.get("hyperedges"), parts.get("changes"), about.version)
-    groups = stored(analyze.communities(graph.nodes, graph.edges), "communities")
-    nodes = stored(analyze.assign_communities(graph.nodes, groups), "nodes")
+    members, groups = analyze.community_members(graph.nodes, graph.edges)
+    nodes, groups = stored(analyze.assign_communities(graph.nodes, members), "nodes"), stored(groups, "communities")
     graph = replace(graph, nodes=nodes)
     return Result(graph, Analysis(nodes, graph.edges, groups), Diagnostics(), options or Options())
 

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +33,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
+    """df with each row's place in an order, from 0. Ranges of the order are sorted and counted apart;
+    only one row a range meets in one task."""
+    spread = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = spread.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    # a row a range
+    return spread.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_before", "_place")

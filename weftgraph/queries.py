@@ -580,7 +580,7 @@ def cypher_lines(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY o) AS rank, label, type FROM n JOIN cc USING (id) JOIN g USING (c)) SELECT community::INT AS community, rank::INT AS rank, label, type FROM m WHERE rank <= 25""")
 def wiki_members(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _sparse(spark, sf)
-    return art.wiki_members(analyze.assign_communities(nodes, analyze.communities(nodes, edges)))
+    return art.wiki_members(analyze.assign_communities(nodes, analyze.community_members(nodes, edges)[0]))
 
 
 # -- extraction in Python workers --
