@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh
+from .common import fresh, shared_dir
 
 DIMENSIONS = ("source", "lang", "topic")
 EXPONENTS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -76,6 +76,7 @@ def target_of(table: DataFrame, dimension: str, targets: dict[str, dict[str, flo
 def rake(table: DataFrame, targets: dict[str, dict[str, float]] | None = None, exponents: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Adds weight: each cell's share of the raked corpus."""
     exponents = EXPONENTS | (exponents or {})
+    shared_dir(table.sparkSession)  # where the checkpoints go
     # one row a cell: one partition holds it, and the windows below need no exchange
     table = table.coalesce(1).checkpoint()
     for d in DIMENSIONS:
