@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import random
 import zlib
 from urllib.parse import quote
 
@@ -70,3 +71,39 @@ def test_hard_rows(spark):
     assert sum(r.doc_id == 50 for r in got) == 2
     assert all(r.secret_sha256 == sha(KEY) for r in got)
     assert S.scan_secrets(docs(spark, [])).count() == 0
+
+
+def held(text, path=None):
+    return [f for f in S.scan(text) if f[0] == "aws_access_key" and f[5] == sha(KEY) and path in (None, f[4])]
+
+
+def noise(n, seed):
+    return "".join(random.Random(f"{seed}").choices("abcdefghijklmnopqrstuvwxyz 0123456789,.?>~", k=n))
+
+
+def test_url_safe_tokens_are_read_whole():
+    for i in range(200):
+        data = zlib.compress(f"{noise(60, i)} {KEY} {noise(40, -i)}".encode())
+        token = base64.urlsafe_b64encode(data).decode()
+        assert any(f[1:3] == (4, 4 + len(token)) for f in held(f"see {token} end", "base64>zlib")), token
+        plain = base64.urlsafe_b64encode(f"{noise(30, i)}?>~ {KEY} .".encode()).decode()
+        assert held(plain, "base64")
+    # tokens glued to a sign of the other alphabet are read as before
+    for glue in ("name-of_it-", "a/b/"):
+        assert held(f"{glue}{b64('k ' + KEY + ' .')}")
+
+
+def test_wrapped_base64_is_read_over_lines():
+    for i in range(60):
+        for width, end in ((76, "\n"), (64, "\r\n"), (20, "\n  ")):
+            text = f"{noise(i + 30, i)} {KEY} {noise(90, -i)}"
+            for data, path in ((text.encode(), "base64"), (gzip.compress(text.encode(), mtime=0), "base64>gzip")):
+                code = b64(data)
+                lines = end.join(code[k : k + width] for k in range(0, len(code), width))
+                for before, after in (("", ""), ("body\n", "\nword after"), ("data: ", " end"), ("", "\n\nend")):
+                    got = held(before + lines + after, path)
+                    assert got, (before, lines)
+                    if path == "base64":
+                        first, last = (i + 31) * 4 // 3, -(-(i + 31 + len(KEY)) * 4 // 3) - 1
+                        span = tuple(len(before) + x + x // width * len(end) for x in (first, last))
+                        assert (span[0], span[1] + 1) in {f[1:3] for f in got}

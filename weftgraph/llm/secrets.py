@@ -1,8 +1,8 @@
 """Secret scans through nested encodings.
 
 Each text is the first entry of a worklist. A layer is scanned for secrets; then each part of it
-that reads as an encoding - tokens with URL escapes, tokens with Unicode escapes, base64 runs and what
-they hold compressed (gzip, zlib, zstandard, bzip2, xz) - is decoded and joins the worklist.
+that reads as an encoding - tokens with URL escapes, tokens with Unicode escapes, base64 runs, within a
+line or wrapped over lines, and what they hold compressed (gzip, zlib, zstandard, bzip2, xz) - is decoded and joins the worklist.
 A digest of the layers on the way from the text stops cycles, so the list empties: the fixpoint.
 Every layer keeps a map of its characters to the text, so that a finding has the span of the original
 it came from.
@@ -11,7 +11,8 @@ One narrow pass, no shuffle. Whole texts are scanned, however long. A layer that
 beyond `max_layer` bytes is reported as `oversized_layer` rather than dropped.
 
 Edge cases: null and empty texts have no findings; equal findings of one layer at one place are one;
-the same secret at several places or through several encodings is reported for each; repeated
+the same secret at several places or through several encodings is reported for each, also where
+a line or part of a base64 run reads as well as the whole; repeated
 rows report each; the secret itself is never returned, but its SHA-256.
 """
 
@@ -52,7 +53,12 @@ _HINT = re.compile(r"A[KS]IA|gh[pousr]_|github_pat_|xox|[sr]k_|AIza|eyJ|-----BEG
 _PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 _UNICODE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8})[^\s\\]*)+")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
+#: Runs of both alphabets, and of either: a token can be glued to others by a sign of the other alphabet
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: Runs of lines, of which the first may begin and the last end within a line
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _BAD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
@@ -147,25 +153,49 @@ def _readable(data: bytes) -> str | None:
     return None if _BAD.search(text) else text
 
 
-def _base64(s: str, limit: int) -> tuple[str, list[tuple[int, int]], tuple[str, ...]] | None:
+def _pieces(text: str) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Spans that may be base64, as the pieces of one run each."""
+    for m in _BASE64.finditer(text):
+        yield from dict.fromkeys(((m.span(),), *((n.span(),) for alphabet in _ALPHABETS for n in alphabet.finditer(text, *m.span()))))
+    if "\n" in text or "\r" in text:
+        for m in _WRAPPED.finditer(text):
+            lines = [n.span() for n in _PIECE.finditer(text, *m.span())]
+            size = [b - a for a, b in lines]
+            runs = {(0, len(lines)): None, (0, len(lines) - 1): None}
+            # lines of one width and the shorter one after them, whatever else stands in the lines around
+            i = 0
+            while i < len(lines):
+                j = i + 1
+                while j < len(lines) and size[j] == size[i]:
+                    j += 1
+                runs[i, j] = None
+                if j < len(lines) and size[j] < size[i]:
+                    runs[i, j + 1] = None
+                i = j
+            for i, j in runs:
+                if j - i > 1 and sum(size[i:j]) >= 16:
+                    yield tuple(lines[i:j])
+
+
+def _base64(s: str, limit: int) -> list[tuple[str, list[tuple[int, int]], tuple[str, ...]]]:
+    """The text that s holds; none if it is none."""
     body = s.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
+    body = body[:-1] if len(body) % 4 == 1 else body
     try:
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
+        return []
     names, content = ["base64"], data
     while inner := _inflate(content, limit):
         content, name = inner
         names.append(name)
     text = _readable(content)
     if text is None:
-        return None
+        return []
     if len(names) > 1:
-        return text, [(0, len(s))] * len(text), tuple(names)
+        return [(text, [(0, len(s))] * len(text), tuple(names))]
     spans = [(i * 4 // 3, min(-(-(i + 1) * 4 // 3), len(s))) for i in range(len(data))]
-    return (*_chars(data, spans), ("base64",))
+    return [(*_chars(data, spans), ("base64",))]
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, int, str, str]]:
@@ -186,12 +216,17 @@ def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, int
             parts += [(m.start(), *_percent(m.group()), ("url",)) for m in _PERCENT.finditer(layer.text)]
         if "\\" in layer.text:
             parts += [(m.start(), *_escapes(m.group()), ("unicode",)) for m in _UNICODE.finditer(layer.text)]
-        for m in _BASE64.finditer(layer.text):
+        for pieces in _pieces(layer.text):
+            at, token = pieces[0][0], "".join(layer.text[a:b] for a, b in pieces)
             try:
-                if got := _base64(m.group(), max_layer):
-                    parts.append((m.start(), *got))
+                got = _base64(token, max_layer)
             except Oversized:
-                found[("oversized_layer", *origin(*m.span()), len(layer.path) + 1, ">".join((*layer.path, "base64")), hashlib.sha256(m.group().encode()).hexdigest())] = None
+                found[("oversized_layer", *origin(at, pieces[-1][1]), len(layer.path) + 1, ">".join((*layer.path, "base64")), hashlib.sha256(token.encode()).hexdigest())] = None
+                continue
+            if len(pieces) > 1 and got:
+                place = [i - at for a, b in pieces for i in range(a, b)]
+                got = [(t, [(place[a], place[b - 1] + 1) for a, b in spans], names) for t, spans, names in got]
+            parts += [(at, *g) for g in got]
         for at, inner, spans, names in parts:
             if inner and hash(inner) not in layer.seen:
                 mapped = [origin(at + a, at + max(b, a + 1)) for a, b in spans]
