@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import zlib
 from urllib.parse import quote
@@ -107,3 +108,26 @@ def test_wrapped_base64_is_read_over_lines():
                         first, last = (i + 31) * 4 // 3, -(-(i + 31 + len(KEY)) * 4 // 3) - 1
                         span = tuple(len(before) + x + x // width * len(end) for x in (first, last))
                         assert (span[0], span[1] + 1) in {f[1:3] for f in got}
+
+
+def test_all_members_are_read():
+    packs = {"gzip": gzip.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress, "zlib": zlib.compress}
+    for name, pack in packs.items():
+        first, last = pack(b"first "), pack(f"then {KEY} ".encode())
+        for data in (first + last, first + pack(b"") + last, first + b"\0" * 8 + last, first + f"tail {KEY} ".encode(), first + packs["bzip2"](KEY.encode())):
+            assert held(b64(data), f"base64>{name}"), (name, data)
+    bomb = b64(gzip.compress(b"0" * 60_000) + gzip.compress(b"0" * 60_000))
+    assert {f[0] for f in S.scan(bomb, max_layer=100_000)} == {"oversized_layer"}
+    bomb = b64(zstandard.compress(b"0" * 200_000))
+    assert {f[0] for f in S.scan(bomb, max_layer=100_000)} == {"oversized_layer"}
+
+
+def test_bytes_that_are_no_clean_text_are_scanned():
+    text = f"a key {KEY} ."
+    for data in (b"\xff\xfe\x80" + text.encode(), text.encode() + b"\x00\x01", b"\x1b" + text.encode(), "è".encode("latin-1") + text.encode()):
+        assert held(b64(data), "base64") and held(b64(gzip.compress(data)), "base64>gzip"), data
+        (_, a, b, *_), k = held(b64(data), "base64")[0], data.index(KEY.encode())
+        assert (a, b) == (k * 4 // 3, -(-(k + len(KEY)) * 4 // 3))
+    for data in (text.encode("utf-16"), text.encode("utf-16-be"), b"\x07" + text.encode("utf-16-le"), f"\u4e2d{KEY}\u3041".encode("utf-16-be")):
+        assert held(b64(data), "base64>utf16") and held(b64(gzip.compress(data)), "base64>gzip>utf16"), data
+    assert held(b64(b"\xff" + b64(text).encode()), "base64>base64")

@@ -4,6 +4,8 @@ Each text is the first entry of a worklist. A layer is scanned for secrets; then
 that reads as an encoding - tokens with URL escapes, tokens with Unicode escapes, base64 runs, within a
 line or wrapped over lines, and what they hold compressed (gzip, zlib, zstandard, bzip2, xz) - is decoded and joins the worklist.
 A digest of the layers on the way from the text stops cycles, so the list empties: the fixpoint.
+Of compressed content all members or frames are read. Bytes that are not UTF-8 are read as Latin-1,
+and bytes with zeros as UTF-16 also.
 Every layer keeps a map of its characters to the text, so that a finding has the span of the original
 it came from.
 
@@ -24,6 +26,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, kind string, span_start int, span_end int, depth int, encodings string, secret_sha256 string"
 MAX_LAYER = 64 << 20
+#: Bytes of zstandard input at a time: they inflate to a few MB at most
+ZSTD_STEP = 256
 
 _RULES = (
     ("aws_access_key", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])"),
@@ -59,7 +64,6 @@ _ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-
 #: Runs of lines, of which the first may begin and the last end within a line
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
-_BAD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 class Layer(NamedTuple):
@@ -118,8 +122,9 @@ def _escapes(s: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes, str] | None:
-    """Content and name of compressed data, None if it is none."""
+def _member(data: bytes, limit: int) -> tuple[bytes, bytes, str] | None:
+    """Content of the first member or frame of compressed data, what follows it, and its name; None if
+    the data are not compressed."""
     try:
         if data[:2] == b"\x1f\x8b":
             d, name = zlib.decompressobj(31), "gzip"
@@ -128,11 +133,14 @@ def _inflate(data: bytes, limit: int) -> tuple[bytes, str] | None:
         elif data[:6] == b"\xfd7zXZ\x00":
             d, name = lzma.LZMADecompressor(), "xz"
         elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(limit + 1)
-            if len(out) > limit:
-                raise Oversized
-            return out, "zstd"
+            out, d = bytearray(), zstandard.ZstdDecompressor().decompressobj()
+            for at in range(0, len(data), ZSTD_STEP):  # it has no limit of its own
+                out += d.decompress(data[at : at + ZSTD_STEP])
+                if len(out) > limit:
+                    raise Oversized
+                if d.eof:
+                    return bytes(out), d.unused_data + data[at + ZSTD_STEP :], "zstd"
+            return bytes(out), b"", "zstd"
         elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
             d, name = zlib.decompressobj(), "zlib"
         else:
@@ -140,17 +148,40 @@ def _inflate(data: bytes, limit: int) -> tuple[bytes, str] | None:
         out = d.decompress(data, limit + 1)
         if len(out) > limit:
             raise Oversized
-        return out, name
+        return out, d.unused_data, name
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
         return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+def _inflate(data: bytes, limit: int) -> tuple[bytes, str] | None:
+    """Content of all members and what follows them as it is, and the name of the first; None if the
+    data are not compressed."""
+    out, first = bytearray(), None
+    while got := _member(data, limit - len(out)):
+        out += got[0]
+        data = got[1].lstrip(b"\0")  # members may be padded
+        first = first or got[2]
+    if first is None:
         return None
-    return None if _BAD.search(text) else text
+    out += data
+    if len(out) > limit:
+        raise Oversized
+    return bytes(out), first
+
+
+def _worth(text: str) -> bool:
+    """Whether a scan of text can find anything."""
+    return any(x.search(text) for x in (_HINT, _BASE64, _PERCENT, _UNICODE, _WRAPPED))
+
+
+def _utf16(data: bytes) -> Iterator[tuple[str, int]]:
+    """Texts that the data may hold in units of two bytes, in either order, and where they begin."""
+    for at in (0, 1):
+        n = (len(data) - at) // 2
+        texts = ["".join(map(chr, struct.unpack_from(f"{order}{n}H", data, at))) for order in "<>"]
+        if worth := [(t, at) for t in texts if _worth(t)]:
+            yield from worth
+            return
 
 
 def _pieces(text: str) -> Iterator[tuple[tuple[int, int], ...]]:
@@ -189,13 +220,18 @@ def _base64(s: str, limit: int) -> list[tuple[str, list[tuple[int, int]], tuple[
     while inner := _inflate(content, limit):
         content, name = inner
         names.append(name)
-    text = _readable(content)
-    if text is None:
-        return []
+    wide = list(_utf16(content)) if b"\0" in content else []
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    plain = [text] if _worth(text) else []
     if len(names) > 1:
-        return [(text, [(0, len(s))] * len(text), tuple(names))]
+        return [(t, [(0, len(s))] * len(t), tuple(names)) for t in plain] + [(t, [(0, len(s))] * len(t), (*names, "utf16")) for t, _ in wide]
+    if not (plain or wide):
+        return []
     spans = [(i * 4 // 3, min(-(-(i + 1) * 4 // 3), len(s))) for i in range(len(data))]
-    return [(*_chars(data, spans), ("base64",))]
+    return [(t, _chars(data, spans)[1] if len(t) < len(data) else spans, ("base64",)) for t in plain] + [(t, [(spans[at + 2 * i][0], spans[at + 2 * i + 1][1]) for i in range(len(t))], ("base64", "utf16")) for t, at in wide]
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, int, str, str]]:
