@@ -470,12 +470,24 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.components(*_sparse(spark, sf))
 
 
+@query()
+def connected_components_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.components(*entities(spark, sf))
+
+
 @query(_SPARSE + _COMPONENTS + """g AS (SELECT c, count(*) AS size, min(o) AS first, coalesce(arg_min(label, o) FILTER (type NOT IN ('tag', 'resource')), 'Community') AS label, md5(string_agg(id, ',' ORDER BY o)) AS members FROM cc JOIN n USING (id) GROUP BY c)
 SELECT (row_number() OVER (ORDER BY size DESC, first) - 1)::INT AS community, label, size, members FROM g""")
 def community_labels(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.communities(*_sparse(spark, sf)).select("community", "label", "size", F.md5(F.array_join("node_ids", ",").cast("binary")).alias("members"))
 
 
+@query()
+def community_labels_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each member: the largest community holds most of the graph and need not fit in one."""
+    members, summary = analyze.community_members(*entities(spark, sf))
+    return members.join(summary, "community").select("community", "label", "size", "id")
+
+
 @query(_GRAPH + """g AS (SELECT source, count(*) AS g FROM e GROUP BY source), c AS (SELECT count(*)::DOUBLE AS c FROM n),
 pr(i, id, r) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT c FROM c) FROM n UNION ALL
   SELECT max(i) + 1, id, 0.15::DOUBLE / (SELECT c FROM c) + sum(x) FROM (
@@ -583,6 +595,12 @@ def wiki_members(spark: SparkSession, sf: str) -> DataFrame:
     return art.wiki_members(analyze.assign_communities(nodes, analyze.community_members(nodes, edges)[0]))
 
 
+@query()
+def wiki_members_whole(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = entities(spark, sf)
+    return art.wiki_members(analyze.assign_communities(nodes, analyze.community_members(nodes, edges)[0]))
+
+
 # -- extraction in Python workers --
 
 
