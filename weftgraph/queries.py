@@ -512,13 +512,20 @@ rg AS (SELECT target AS region, sum(w + 1) AS below, sum((w + 1) * (w + 1)) AS s
 """
 
 
+def _betweenness(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """(id, betweenness), without rows above `limit` nodes."""
+    found = analyze.betweenness(nodes, edges, limit=limit)
+    if found is None:
+        return nodes.sparkSession.createDataFrame([], "id string, betweenness double")
+    return found.select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
 @query(_GEO + """
 b AS (SELECT region AS id, (below * below - squares)::DOUBLE AS b FROM rg
   UNION ALL SELECT w.id, ((rg.below + 1 - 1)::DOUBLE * (rg.below + 1 - 1) - w.w - (rg.below - w.w)::DOUBLE * (rg.below - w.w))::DOUBLE FROM w JOIN ge ON ge.source = w.id JOIN rg ON rg.region = ge.target)
 SELECT gn.id, round(coalesce(b, 0) * 2 / ((SELECT count(*) FROM gn)::DOUBLE - 1) / ((SELECT count(*) FROM gn) - 2), 9) AS betweenness FROM gn LEFT JOIN b ON b.id = gn.id""")
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _geo(spark, sf)
-    return analyze.betweenness(nodes, edges, limit=100_000).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return _betweenness(*_geo(spark, sf), limit=100_000)
 
 
 @query(_GEO + """d AS (SELECT region AS id, branches AS degree FROM rg WHERE branches > 1 UNION ALL SELECT id, w + 1 FROM w WHERE w > 0) SELECT d.id, gn.label, d.degree::BIGINT AS degree FROM d JOIN gn USING (id)""")
@@ -526,6 +533,11 @@ def bridge_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.bridge_nodes(*_geo(spark, sf))
 
 
+@query()
+def bridge_nodes_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.bridge_nodes(*entities(spark, sf))
+
+
 # -- search --
 
 _SCORE = """sc AS (SELECT *, s + CASE type WHEN 'document' THEN 4 WHEN 'class' THEN 3 WHEN 'function' THEN 3 WHEN 'interface' THEN 3 WHEN 'symbol' THEN 1 WHEN 'tag' THEN -2 ELSE 0 END AS score FROM (
