@@ -631,6 +631,14 @@ def doc_chunks_basic(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.where("type = 'chunk'").select(F.col("source_item_id").cast("bigint").alias("doc_id"), "label", "id")
 
 
+@query()
+def doc_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk of each document, with its whole text and kind in metadata."""
+    items = sources.normalize(_read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id"), "doc_id")
+    nodes, _ = _built(extract.extract(items))
+    return nodes.where("type = 'chunk'").select(F.col("source_item_id").cast("bigint").alias("doc_id"), "id", "label", "source_location", "metadata")
+
+
 @query(r"""SELECT 'doc:' || event_id || ':schema:' || k AS id, k AS label, 'schema_field' AS type, event_id::VARCHAR AS source_item_id FROM (SELECT event_id, unnest(json_keys(props::JSON)) AS k FROM events)
 UNION ALL SELECT 'doc:' || event_id, event_id || '.json', 'data_file', event_id::VARCHAR FROM events""")
 def schema_walk(spark: SparkSession, sf: str) -> DataFrame:
