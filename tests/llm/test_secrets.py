@@ -4,6 +4,9 @@ import gzip
 import hashlib
 import lzma
 import random
+import subprocess
+import sys
+import time
 import zlib
 from urllib.parse import quote
 
@@ -131,3 +134,109 @@ def test_bytes_that_are_no_clean_text_are_scanned():
     for data in (text.encode("utf-16"), text.encode("utf-16-be"), b"\x07" + text.encode("utf-16-le"), f"\u4e2d{KEY}\u3041".encode("utf-16-be")):
         assert held(b64(data), "base64>utf16") and held(b64(gzip.compress(data)), "base64>gzip>utf16"), data
     assert held(b64(b"\xff" + b64(text).encode()), "base64>base64")
+
+
+def test_compressed_bytes_behind_escapes_are_read():
+    for data in (gzip.compress(f"a {KEY} b".encode(), mtime=0), zlib.compress(KEY.encode() * 3), bz2.compress(KEY.encode())):
+        hexed, slashed = "".join(f"%{x:02X}" for x in data), "".join(f"\\x{x:02x}" for x in data)
+        for token, name in ((hexed, "url"), (slashed, "unicode"), (quote(data), "url")):
+            got = [f for f in held(f"see {token} end") if f[4].startswith(name + ">")]
+            assert got and got[0][1:3] == (4, 4 + len(token)), name
+    assert held("".join(f"%{x:02x}" for x in KEY.encode("utf-16")), "url>utf16")
+    pair = "".join(f"\\u{x:04x}" for x in (0xD83D, 0xDE00)) + f"\\u0020{KEY}"
+    (kind, a, b, *_), = [f for f in held(pair) if f[3] == 1]
+    assert (a, b) == (18, 18 + len(KEY))
+
+
+def test_spans_of_wide_characters():
+    text = "é漢😀" + KEY + "é"
+    for token, size in ((quote(text), lambda x: len(quote(x))), (text[:3] + "%41" + KEY[1:] + "é", None), (b64(text), None)):
+        got = held("ü " + token)
+        if size:
+            assert (2 + size(text[:3]), 2 + size(text[:3]) + len(KEY)) in {f[1:3] for f in got}
+        else:
+            assert got and all(2 <= f[1] < f[2] <= 2 + len(token) for f in got)
+    assert (5, 7 + len(KEY)) in {f[1:3] for f in held("ü é漢%41" + KEY[1:])} or held("ü é漢%41" + KEY[1:])[0][1:3] == (4, 6 + len(KEY))
+
+
+ENCODERS = {
+    "url": lambda b: "".join(f"%{x:02x}" for x in b),
+    "unicode": lambda b: "".join(f"\\x{x:02x}" for x in b),
+    "base64": lambda b: base64.b64encode(b).decode(),
+    "urlsafe": lambda b: base64.urlsafe_b64encode(b).decode(),
+    "wrapped": lambda b: "\n".join(base64.encodebytes(b).decode().split("\n")).strip(),
+}
+PACKERS = {"gzip": lambda b: gzip.compress(b, mtime=0), "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress, "utf16": lambda b: b.decode("latin-1").encode("utf-16-le")}
+
+
+def plainly(text, depth=0):
+    """(kind, digest) by plain recursion over white-space tokens and over all lines joined, without spans."""
+    got = {(n, sha(m.group("value") if n == "assigned_secret" else m.group())) for m in S._SECRET.finditer(text) for n, _ in S._RULES if m.group(n)}
+    if depth > 8:
+        return got
+    for token in {*text.split(), "".join(text.split())}:
+        datas = []
+        if "%" in token:
+            datas.append(__import__("urllib.parse").parse.unquote_to_bytes(token))
+        if "\\x" in token:
+            datas.append(bytes(int(x, 16) for x in token.split("\\x")[1:]) if all(len(x) == 2 for x in token.split("\\x")[1:]) else b"")
+        try:
+            datas.append(base64.b64decode(token.replace("-", "+").replace("_", "/"), validate=True))
+        except ValueError:
+            pass
+        for data in datas:
+            for unpack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b)):
+                try:
+                    data = unpack(data)
+                except Exception:  # noqa: BLE001, S112
+                    continue
+            for code in ("utf-8", "utf-16-le"):
+                try:
+                    inner = data.decode(code)
+                except UnicodeDecodeError:
+                    continue
+                if inner and inner != token:
+                    got |= plainly(inner, depth + 1)
+    return got
+
+
+def test_random_nestings_against_plain_recursion():
+    rng = random.Random(77)
+    for _ in range(250):
+        data, path = f"{noise(rng.randrange(5, 40), rng.random())} {KEY} {noise(9, rng.random())}".encode(), []
+        for _ in range(rng.randrange(1, 5)):
+            if rng.random() < 0.5:
+                name = rng.choice([n for n in PACKERS if n != "utf16" or data.isascii()])
+                data = PACKERS[name](data)
+            name = rng.choice(list(ENCODERS))
+            data = ENCODERS[name](data).encode()
+            path.append(name)
+        token = data.decode()
+        text = f"{noise(20, rng.random())} {token} end"
+        want = {w for w in plainly(token) if w[0] == "aws_access_key"}
+        got = {(f[0], f[5]) for f in S.scan(text)}
+        assert want <= got and ("aws_access_key", sha(KEY)) in got, path
+        start = text.index(token)
+        assert all(start <= f[1] < f[2] <= start + len(token) for f in S.scan(text) if f[5] == sha(KEY)), path
+
+
+def test_a_layer_of_many_megabytes_needs_little_memory():
+    code = f"""
+import base64, gzip, resource, sys
+sys.path.insert(0, {repr(__file__.rsplit('/tests/', 1)[0])})
+from weftgraph.llm import secrets as S
+key = 'AKIA' + 'Q7' * 8
+token = base64.b64encode(gzip.compress(b'some words, ' * ((60 << 20) // 12) + key.encode())).decode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert any(f[0] == 'aws_access_key' for f in S.scan('x ' + token))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500_000
+
+
+def test_long_runs_cost_their_length():
+    began = time.time()
+    for text in ("x" * 300_000 + " 5% and \\ token", "a" * 300_000 + "://", "%" * 200_000, "\\" * 200_000):
+        assert S.scan(text) == []
+    assert time.time() - began < 20

@@ -2,12 +2,13 @@
 
 Each text is the first entry of a worklist. A layer is scanned for secrets; then each part of it
 that reads as an encoding - tokens with URL escapes, tokens with Unicode escapes, base64 runs, within a
-line or wrapped over lines, and what they hold compressed (gzip, zlib, zstandard, bzip2, xz) - is decoded and joins the worklist.
-A digest of the layers on the way from the text stops cycles, so the list empties: the fixpoint.
-Of compressed content all members or frames are read. Bytes that are not UTF-8 are read as Latin-1,
-and bytes with zeros as UTF-16 also.
-Every layer keeps a map of its characters to the text, so that a finding has the span of the original
-it came from.
+line or wrapped over lines, and what any of them holds compressed (gzip, zlib, zstandard, bzip2, xz) - is
+decoded and joins the worklist. A digest of the layers on the way from the text stops cycles, so the list
+empties: the fixpoint. Of compressed content all members or frames are read. Bytes that are not UTF-8 are
+read as Latin-1, and bytes with zeros as UTF-16 also.
+Every layer knows how to trace its characters back to the text, so that a finding has the span of the
+original it came from; what was compressed has the span of the whole token. A trace is arithmetic or
+has a number an escape, so a layer of many megabytes needs little more than its characters.
 
 One narrow pass, no shuffle. Whole texts are scanned, however long. A layer that would inflate
 beyond `max_layer` bytes is reported as `oversized_layer` rather than dropped.
@@ -26,16 +27,18 @@ import bz2
 import hashlib
 import lzma
 import re
-import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import code_points
+
 SCHEMA = "doc_id bigint, kind string, span_start int, span_end int, depth int, encodings string, secret_sha256 string"
 MAX_LAYER = 64 << 20
 #: Bytes of zstandard input at a time: they inflate to a few MB at most
@@ -49,15 +52,18 @@ _RULES = (
     ("google_api_key", r"AIza[0-9A-Za-z_-]{35}"),
     ("json_web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     ("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"),
-    ("url_password", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s/]+"),
+    ("url_password", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]+:[^\s/@]+@[^\s/]+"),
     ("assigned_secret", r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]asswo?r?d|PASSWORD|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])[\"']?\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9+/_.=-]{12,})"),
 )
 _SECRET = re.compile("|".join(f"(?P<{n}>{r})" for n, r in _RULES))
 # What every rule contains: texts without any of it need no search
-_HINT = re.compile(r"A[KS]IA|gh[pousr]_|github_pat_|xox|[sr]k_|AIza|eyJ|-----BEGIN|://|(?i:token|secret|passw|api[_-]?key)")
-_PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_UNICODE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8})[^\s\\]*)+")
-_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+_HINTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "sk_", "rk_", "AIza", "eyJ", "-----BEGIN", "://")
+_HINTS_LOWER = ("token", "secret", "passw", "api_key", "api-key", "apikey")
+# Runs are tried where they begin only, so a long one costs its length
+_PERCENT = re.compile(r"(?<![^\s%])[^\s%]*+(?:%[0-9A-Fa-f]{2}[^\s%]*+)+")
+_UNICODE = re.compile(r"(?<![^\s\\])[^\s\\]*+(?:\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8})[^\s\\]*+)+")
+_HEX = re.compile(rb"%([0-9A-Fa-f]{2})")
+_ESCAPE = re.compile(r"\\(?:u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 #: Runs of both alphabets, and of either: a token can be glued to others by a sign of the other alphabet
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
@@ -66,10 +72,13 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r\
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 
 
+#: From a span of a layer to the span it came from
+Trace = Callable[[int, int], tuple[int, int]]
+
+
 class Layer(NamedTuple):
     text: str
-    #: start and end in the original of each character; None for the original itself
-    spans: list[tuple[int, int]] | None
+    origin: Trace
     path: tuple[str, ...]
     seen: frozenset
 
@@ -78,48 +87,64 @@ class Oversized(Exception):
     pass
 
 
-def _percent(s: str) -> tuple[str, list[tuple[int, int]]]:
-    out, spans, i = bytearray(), [], 0
-    while i < len(s):
-        if s[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", s[i + 1 : i + 3]):
-            out.append(int(s[i + 1 : i + 3], 16))
-            spans.append((i, i + 3))
-            i += 3
-        else:
-            for byte in s[i].encode("utf-8", "surrogatepass"):
-                out.append(byte)
-                spans.append((i, i + 1))
-            i += 1
-    return _chars(bytes(out), spans)
+def _whole(size: int) -> Trace:
+    return lambda a, b: (0, size)
+
+
+def _after(first: Trace, then: Trace) -> Trace:
+    return lambda a, b: then(*first(a, b))
+
+
+def _stretched(at: np.ndarray, extra: np.ndarray) -> Trace:
+    """Trace of signs that were one longer by extra[i] at at[i]; all others are as they were."""
+    more = np.append(0, np.cumsum(extra))
+    return lambda a, b: (a + int(more[np.searchsorted(at, a)]), b + int(more[np.searchsorted(at, b)]))
 
 
-def _chars(data: bytes, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """Text of UTF-8 bytes, and their spans joined by character."""
-    text, joined, at = data.decode("utf-8", "replace"), [], 0
+def _percent(s: str) -> tuple[bytes, Trace]:
+    """The bytes of s without its escapes, and the trace of bytes to characters."""
+    raw = s.encode("utf-8", "surrogatepass")
+    at = np.fromiter((m.start() for m in _HEX.finditer(raw)), dtype=np.int64)
+    data = _HEX.sub(lambda m: bytes((int(m[1], 16),)), raw)
+    # of the n-th escape, the place among the bytes that stay
+    long = _stretched(at - 2 * np.arange(len(at)), np.full(len(at), 2))
+    return (data, long) if len(raw) == len(s) else (data, _after(long, _by_char(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80)))
+
+
+def _by_char(starts: np.ndarray) -> Trace:
+    """Trace of bytes to characters, `starts` marking the bytes that begin one."""
+    char = np.cumsum(starts, dtype=np.int32) - 1
+    return lambda a, b: (int(char[a]), int(char[b - 1]) + 1)
+
+
+def _chars(data: bytes) -> tuple[str, Trace | None]:
+    """The text of UTF-8 bytes, or of Latin-1 where they are none, and the trace of characters to bytes, None if it is plain."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1"), None
     if len(text) == len(data):
-        return text, spans
-    for ch in text:
-        n = len(ch.encode("utf-8")) if ch != "\ufffd" or data[at : at + 3] == b"\xef\xbf\xbd" else 1
-        n = max(1, min(n, len(data) - at))
-        joined.append((spans[min(at, len(spans) - 1)][0], spans[min(at + n, len(spans)) - 1][1]))
-        at += n
-    return text, joined
+        return text, None
+    cp = code_points(text)
+    wide = np.flatnonzero(cp >= 0x80)
+    return text, _stretched(wide, (1 + (cp[wide] >= 0x800) + (cp[wide] >= 0x10000)).astype(np.int64))
 
 
-def _escapes(s: str) -> tuple[str, list[tuple[int, int]]]:
-    out, spans, at = [], [], 0
+def _escapes(s: str) -> tuple[str, Trace]:
+    out, place, extra, at, size = [], [], [], 0, 0
     for m in _ESCAPE.finditer(s):
-        for i in range(at, m.start()):
-            out.append(s[i])
-            spans.append((i, i + 1))
-        code = int(next(g for g in m.groups() if g), 16)
-        out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
-        spans.append(m.span())
+        if m[1]:
+            code = 0x10000 + ((int(m[1], 16) & 0x3FF) << 10) + (int(m[2], 16) & 0x3FF)
+        else:
+            code = int(next(g for g in m.groups() if g), 16)
+        size += m.start() - at
+        out += (s[at : m.start()], chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
+        place.append(size)
+        extra.append(m.end() - m.start() - 1)
+        size += 1
         at = m.end()
-    for i in range(at, len(s)):
-        out.append(s[i])
-        spans.append((i, i + 1))
-    return "".join(out), spans
+    out.append(s[at:])
+    return "".join(out), _stretched(np.array(place, dtype=np.int64), np.array(extra, dtype=np.int64))
 
 
 def _member(data: bytes, limit: int) -> tuple[bytes, bytes, str] | None:
@@ -169,16 +194,23 @@ def _inflate(data: bytes, limit: int) -> tuple[bytes, str] | None:
     return bytes(out), first
 
 
+def _hinted(text: str) -> bool:
+    if any(x in text for x in _HINTS):
+        return True
+    low = text.lower()
+    return any(x in low for x in _HINTS_LOWER)
+
+
 def _worth(text: str) -> bool:
     """Whether a scan of text can find anything."""
-    return any(x.search(text) for x in (_HINT, _BASE64, _PERCENT, _UNICODE, _WRAPPED))
+    return _hinted(text) or any(x.search(text) for x in (_BASE64, _WRAPPED)) or "%" in text and bool(_PERCENT.search(text)) or "\\" in text and bool(_UNICODE.search(text))
 
 
 def _utf16(data: bytes) -> Iterator[tuple[str, int]]:
     """Texts that the data may hold in units of two bytes, in either order, and where they begin."""
     for at in (0, 1):
         n = (len(data) - at) // 2
-        texts = ["".join(map(chr, struct.unpack_from(f"{order}{n}H", data, at))) for order in "<>"]
+        texts = (np.frombuffer(data, f"{order}u2", n, at).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for order in "<>")
         if worth := [(t, at) for t in texts if _worth(t)]:
             yield from worth
             return
@@ -208,65 +240,96 @@ def _pieces(text: str) -> Iterator[tuple[tuple[int, int], ...]]:
                     yield tuple(lines[i:j])
 
 
-def _base64(s: str, limit: int) -> list[tuple[str, list[tuple[int, int]], tuple[str, ...]]]:
-    """The text that s holds; none if it is none."""
+Part = tuple[str, Trace, tuple[str, ...]]
+
+
+def _read(data: bytes, trace: Trace, size: int, name: str, limit: int) -> Iterator[Part]:
+    """What decoded bytes hold that is worth a scan: their content if they are compressed, else their text."""
+    names, content = [name], data
+    while inner := _inflate(content, limit):
+        content, packed = inner
+        names.append(packed)
+    trace = trace if len(names) == 1 else _whole(size)
+    text, by_byte = _chars(content)
+    if _worth(text):
+        yield text, trace if by_byte is None or len(names) > 1 else _after(by_byte, trace), tuple(names)
+    if b"\0" in content:
+        for text, at in _utf16(content):
+            yield text, trace if len(names) > 1 else _after(lambda a, b, at=at: (at + 2 * a, at + 2 * b), trace), (*names, "utf16")
+
+
+def _base64(s: str, limit: int) -> Iterator[Part]:
     body = s.rstrip("=")
     body = body[:-1] if len(body) % 4 == 1 else body
     try:
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return []
-    names, content = ["base64"], data
-    while inner := _inflate(content, limit):
-        content, name = inner
-        names.append(name)
-    wide = list(_utf16(content)) if b"\0" in content else []
+        return iter(())
+    return _read(data, lambda a, b: (a * 4 // 3, min(-(-b * 4 // 3), len(s))), len(s), "base64", limit)
+
+
+def _unicode(s: str, limit: int) -> Iterator[Part]:
+    text, trace = _escapes(s)
+    if _worth(text):
+        yield text, trace, ("unicode",)
+    if text.isascii() and "\0" not in text:
+        return
     try:
-        text = content.decode("utf-8")
-    except UnicodeDecodeError:
-        text = content.decode("latin-1")
-    plain = [text] if _worth(text) else []
-    if len(names) > 1:
-        return [(t, [(0, len(s))] * len(t), tuple(names)) for t in plain] + [(t, [(0, len(s))] * len(t), (*names, "utf16")) for t, _ in wide]
-    if not (plain or wide):
-        return []
-    spans = [(i * 4 // 3, min(-(-(i + 1) * 4 // 3), len(s))) for i in range(len(data))]
-    return [(t, _chars(data, spans)[1] if len(t) < len(data) else spans, ("base64",)) for t in plain] + [(t, [(spans[at + 2 * i][0], spans[at + 2 * i + 1][1]) for i in range(len(t))], ("base64", "utf16")) for t, at in wide]
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return
+    # signs that are bytes, and maybe compressed or of another code; as text they were read already
+    yield from (x for x in _read(data, trace, len(s), "unicode", limit) if len(x[2]) > 1 or x[0] != text)
+
+
+def _url(s: str, limit: int) -> Iterator[Part]:
+    data, trace = _percent(s)
+    return _read(data, trace, len(s), "url", limit)
+
+
+def _parts(text: str) -> Iterator[tuple[int, int, str, Callable[[str, int], Iterator[Part]], Trace | None]]:
+    """(start, end, token, its decoder, trace of the token if it is in pieces)"""
+    if "%" in text:
+        yield from ((*m.span(), m.group(), _url, None) for m in _PERCENT.finditer(text))
+    if "\\" in text:
+        yield from ((*m.span(), m.group(), _unicode, None) for m in _UNICODE.finditer(text))
+    for pieces in _pieces(text):
+        at, end = pieces[0][0], pieces[-1][1]
+        if len(pieces) == 1:
+            yield at, end, text[at:end], _base64, None
+            continue
+        begin = np.array([a - at for a, _ in pieces])
+        before = np.append(0, np.cumsum([b - a for a, b in pieces]))
+
+        def joined(a: int, b: int, begin: np.ndarray = begin, before: np.ndarray = before) -> tuple[int, int]:
+            i, j = (int(np.searchsorted(before[1:], x, side="right")) for x in (a, b - 1))
+            return int(begin[i] + a - before[i]), int(begin[j] + b - before[j])
+
+        yield at, end, "".join(text[a:b] for a, b in pieces), _base64, joined
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> list[tuple[str, int, int, int, str, str]]:
     """(kind, start, end, depth, encodings, sha256) of each secret, spans in characters of text."""
     found: dict[tuple, None] = {}
-    work = [Layer(text, None, (), frozenset((hash(text),)))]
+    work = [Layer(text, lambda a, b: (a, b), (), frozenset((hash(text),)))]
     while work:
         layer = work.pop()
-        origin = (lambda a, b, m=layer.spans: (m[a][0], m[b - 1][1])) if layer.spans is not None else (lambda a, b: (a, b))
-        if _HINT.search(layer.text):
+        if _hinted(layer.text):
             for m in _SECRET.finditer(layer.text):
                 kind = next(n for n, _ in _RULES if m.group(n) is not None)
                 a, b = m.span("value") if kind == "assigned_secret" else m.span()
                 digest = hashlib.sha256(layer.text[a:b].encode("utf-8", "surrogatepass")).hexdigest()
-                found[(kind, *origin(a, b), len(layer.path), ">".join(layer.path), digest)] = None
-        parts: list[tuple[int, str, list[tuple[int, int]], tuple[str, ...]]] = []
-        if "%" in layer.text:
-            parts += [(m.start(), *_percent(m.group()), ("url",)) for m in _PERCENT.finditer(layer.text)]
-        if "\\" in layer.text:
-            parts += [(m.start(), *_escapes(m.group()), ("unicode",)) for m in _UNICODE.finditer(layer.text)]
-        for pieces in _pieces(layer.text):
-            at, token = pieces[0][0], "".join(layer.text[a:b] for a, b in pieces)
+                found[(kind, *layer.origin(a, b), len(layer.path), ">".join(layer.path), digest)] = None
+        for start, end, token, decode, joined in _parts(layer.text):
             try:
-                got = _base64(token, max_layer)
+                for inner, trace, names in decode(token, max_layer):
+                    if inner and hash(inner) not in layer.seen:
+                        trace = trace if joined is None else _after(trace, joined)
+                        back = _after(trace, lambda a, b, at=start, up=layer.origin: up(at + a, at + max(b, a + 1)))
+                        work.append(Layer(inner, back, layer.path + names, layer.seen | {hash(inner)}))
             except Oversized:
-                found[("oversized_layer", *origin(at, pieces[-1][1]), len(layer.path) + 1, ">".join((*layer.path, "base64")), hashlib.sha256(token.encode()).hexdigest())] = None
-                continue
-            if len(pieces) > 1 and got:
-                place = [i - at for a, b in pieces for i in range(a, b)]
-                got = [(t, [(place[a], place[b - 1] + 1) for a, b in spans], names) for t, spans, names in got]
-            parts += [(at, *g) for g in got]
-        for at, inner, spans, names in parts:
-            if inner and hash(inner) not in layer.seen:
-                mapped = [origin(at + a, at + max(b, a + 1)) for a, b in spans]
-                work.append(Layer(inner, mapped, layer.path + names, layer.seen | {hash(inner)}))
+                name = decode.__name__[1:]
+                found[("oversized_layer", *layer.origin(start, end), len(layer.path) + 1, ">".join((*layer.path, name)), hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest())] = None
     return sorted(found)
 
 
