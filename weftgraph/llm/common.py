@@ -18,17 +18,35 @@ CHUNK_CHARS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own where that
-    is unset, as in tests on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"weftgraph-{os.getuid()}")
-        spark.sparkContext.setCheckpointDir(base)
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder that the context was given. Where
+    neither is set, a folder of our own on a single machine, as in tests; on a cluster that is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = "file://" + os.path.join(tempfile.gettempdir(), f"weftgraph-{os.getuid()}")
+    context.setCheckpointDir(base)
     return base
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application's operators wrote to shared storage; their results can't be read any more."""
+    delete(spark, _scratch(spark))
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
