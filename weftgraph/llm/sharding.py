@@ -3,7 +3,8 @@
 Every record hashes into one of a fixed number of slots; only the small slot-to-shard map ever
 changes. Bytes are added up per slot, and rebalancing edits the map: shards over the target give
 up their smallest slots, and these fill the gaps of the others. The map is stored on shared storage
-under one folder a version, so a reader can keep to the version it began with.
+under one folder a version, so a reader can keep to the version it began with. A store may be
+rebalanced again and again, each time from its latest version, also to more or fewer shards.
 
 Everything that goes to all executors is the map, whose size is the number of slots and not that
 of the data. Moving slots is a window over that map, so it is a plan like any other.
@@ -60,7 +61,8 @@ def rebalance(slots: DataFrame, current: DataFrame, n_shards: int = N_SHARDS, to
     marked = (
         held.withColumn("target", F.expr(f"(sum(bytes) over (partition by 0) + {n_shards - 1}) div {n_shards}"))
         .withColumn("load", F.sum("bytes").over(W.partitionBy("shard")))
-        .withColumn("out", (F.col("load") * 100 > F.col("target") * (100 + tolerance_percent)) & (F.sum("bytes").over(by_size) > F.col("target")) & (F.col("bytes") > 0))
+        .withColumn("gone", F.col("shard") >= n_shards)
+        .withColumn("out", F.col("gone") & (F.col("bytes") > 0) | (F.col("load") * 100 > F.col("target") * (100 + tolerance_percent)) & (F.sum("bytes").over(by_size) > F.col("target")) & (F.col("bytes") > 0))
     )
     kept = marked.groupBy("shard").agg(F.sum(F.when(F.col("out"), 0).otherwise(F.col("bytes"))).alias("kept"), F.max("target").alias("t"))
     every = spark.range(n_shards).select(F.col("id").cast("int").alias("shard")).join(kept, "shard", "left")
@@ -69,7 +71,9 @@ def rebalance(slots: DataFrame, current: DataFrame, n_shards: int = N_SHARDS, to
     along = W.partitionBy(F.lit(0)).orderBy(F.desc("bytes"), "slot").rowsBetween(W.unboundedPreceding, 0)
     moving = marked.where("out").select("slot", (F.sum("bytes").over(along) * 2 - F.col("bytes")).alias("middle2"))
     placed = moving.join(F.broadcast(gap), (F.col("middle2") >= (F.col("hi") - F.col("gap")) * 2) & (F.col("middle2") < F.col("hi") * 2)).select("slot", "to_shard")
-    return held.join(placed, "slot", "left").select("slot", F.coalesce("to_shard", "shard").alias("shard"), (F.coalesce("to_shard", "shard") != F.col("shard")).alias("moved"))
+    # of shards that are no more, slots without bytes go anywhere
+    now = F.coalesce("to_shard", F.when(F.col("shard") >= n_shards, F.pmod("slot", F.lit(n_shards))).otherwise(F.col("shard")))
+    return held.join(placed, "slot", "left").select("slot", now.alias("shard"), (now != F.col("shard")).alias("moved"))
 
 
 class SlotMapStore:
@@ -80,23 +84,41 @@ class SlotMapStore:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "slot-map")
 
+    def versions(self) -> list[int]:
+        """Versions that were written to their end."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(place):
+            return []
+        folders = [x.getPath() for x in files.listStatus(place)]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(x.getName()[8:]) for x in folders if x.getName().startswith("version=") and files.exists(done(x, "_SUCCESS")))
+
     def write(self, version: int, slot_map: DataFrame) -> None:
         """Fails if the version is there already: a version never changes."""
-        slot_map.select("slot", "shard").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/version={version}")
+        if version in self.versions():
+            raise FileExistsError(f"version {version} of {self.path} exists already")
+        slot_map.select("slot", "shard").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema(self._schema).parquet(f"{self.path}/version={version}")
 
 
 def shard(docs: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS, tolerance_percent: int = TOLERANCE_PERCENT, store: SlotMapStore | None = None) -> DataFrame:
-    """(doc_id, slot, shard, map_version, moved) for each record after one rebalancing."""
+    """(doc_id, slot, shard, map_version, moved) for each record after one rebalancing of the store's latest map. The
+    store keeps its number of slots."""
     store = store or SlotMapStore(docs.sparkSession)
-    store.write(1, initial_map(docs.sparkSession, n_slots, n_shards))
-    store.write(2, rebalance(slot_bytes(docs, n_slots), store.read(1), n_shards, tolerance_percent))
-    now = store.read(2).join(store.read(1).withColumnRenamed("shard", "before"), "slot")
+    if not store.versions():
+        store.write(1, initial_map(docs.sparkSession, n_slots, n_shards))
+    last = store.versions()[-1]
+    old = store.read(last)
+    if (held := old.count()) != n_slots:
+        raise ValueError(f"the store has {held} slots, not {n_slots}")
+    store.write(last + 1, rebalance(slot_bytes(docs, n_slots), old, n_shards, tolerance_percent))
+    now = store.read(last + 1).join(old.withColumnRenamed("shard", "before"), "slot")
     routed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), slot_of(F.col("doc_id"), n_slots).alias("slot"))
     # n_slots rows, whatever the size of the data
-    return routed.join(F.broadcast(now), "slot").select("doc_id", "slot", "shard", F.lit(2).alias("map_version"), (F.col("shard") != F.col("before")).alias("moved"))
+    return routed.join(F.broadcast(now), "slot").select("doc_id", "slot", "shard", F.lit(last + 1).alias("map_version"), (F.col("shard") != F.col("before")).alias("moved"))
 
 
 def oracle(n_slots: int = N_SLOTS, n_shards: int = N_SHARDS, tolerance_percent: int = TOLERANCE_PERCENT) -> str:
