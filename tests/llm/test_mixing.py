@@ -22,6 +22,27 @@ def test_against_sql(spark, tmp_path):
     same(mixing.mix(d), mixing.oracle(), d, tmp_path)
 
 
+def test_targets_against_sql(spark, tmp_path):
+    d = corpus(spark).unionByName(docs(spark, hard_rows())).cache()
+    for targets in (mixing.TARGETS, {"source": {"a": 0.5, "hot": 0.0}}):
+        same(mixing.mix(d, targets), mixing.oracle(targets), d, tmp_path)
+
+
+def test_targets_of_zero_stay_zero(spark):
+    d = corpus(spark)
+    for targets in ({"source": {"hot": 1.0}}, {"source": {"hot": 0.5, "a": 0.5, "b": 0.0}}, {"source": {"hot": 1.0}, "lang": {"xx": 1.0}}):
+        got = mixing.mix(d, targets).join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("probability").alias("p")).collect()
+        p = {r.source: r.p for r in got}
+        assert p["b"] == p["c"] == 0 and (p["hot"] > 0) == ("lang" not in targets)
+
+
+def test_a_column_of_topics_is_used(spark):
+    d = corpus(spark).withColumn("topic", F.when(F.col("doc_id") % 3 == 0, F.lit("law")))
+    by = {r.topic: r.n for r in mixing.mix(d, {"topic": {"law": 0.5}}).groupBy("topic").agg(F.count("*").alias("n")).collect()}
+    assert by["law"] == 134 and set(by) == {"law", "prose", "license", "table"}
+    assert mixing.sample_mix(d).columns == d.columns
+
+
 def test_marginals_meet_their_targets(spark):
     targets = {"source": {"hot": 0.25, "a": 0.25, "b": 0.25, "c": 0.25}, "lang": {"en": 0.5, "fr": 0.5}}
     raked = mixing.rake(mixing.cells(corpus(spark)), targets, rounds=40).cache()

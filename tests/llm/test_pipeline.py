@@ -31,7 +31,7 @@ def test_run_against_brute_force(spark, tmp_path):
     _, _, group = brute([(r.doc_id, r.text) for r in left])
     left = [r for r in left if group[r.doc_id] == r.doc_id]
     # mixing: the draw against the probability of the cell
-    kept = {r.doc_id for r in mixing.mix(docs(spark, [(r.doc_id, r.text, r.lang, r.source) for r in left])).where("keep").collect()}
+    kept = {r.doc_id for r in mixing.mix(docs(spark, [(r.doc_id, r.text, r.lang, r.source) for r in left]), mixing.TARGETS).where("keep").collect()}
     words = {r.doc_id: len(r.text.split()) for r in left if r.doc_id in kept}
     got = {}
     for r in packed:

@@ -35,7 +35,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), mixing.TARGETS)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op3_exact_dedup": exact_dedup.oracle(), "op6_mixing": mixing.oracle(), "op8_ngram_join": ngram_join.oracle()}
+    return {"op1_sharding": sharding.oracle(), "op3_exact_dedup": exact_dedup.oracle(), "op6_mixing": mixing.oracle(mixing.TARGETS), "op8_ngram_join": ngram_join.oracle()}
