@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftgraph.llm import quality
 
-from .helpers import EN, FR, crowded, docs, hard_rows, prose
+from .helpers import EN, FR, crowded, docs, hard_rows, prose, rows_of
 
 
 def corpus(spark, n=400):
@@ -58,3 +59,5 @@ def test_hard_rows(spark):
     none = quality.classify(hard, labels.limit(0)).toPandas()
     assert (none.quality_score == 0.5).all() and none.keep.all()
     assert quality.classify(docs(spark, []), labels).count() == 0
+    further = labels.withColumn("label", F.lit("x")).withColumn("h", F.lit("y")).withColumn("text", F.lit("z"))
+    assert rows_of(quality.classify(crowded(d), further)) == rows_of(quality.classify(d, labels))

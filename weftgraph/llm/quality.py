@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs:
             i = np.unique(np.append(i, 1 << bits))
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(w[i])], names=["i", "w"])
 
-    sample = labelled_sample(docs, labels, "label" if "label" in labels.columns else "quality", max_train)
+    sample = labelled_sample(docs, labels, "quality", max_train)
     one = sample.repartition(1).sortWithinPartitions("h", "label", "text")
     got = one.mapInArrow(train, "i int, w double").toArrow()
     if not got.num_rows:
