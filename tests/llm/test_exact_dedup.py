@@ -10,14 +10,13 @@ from .helpers import EN, crowded, docs, hard_rows, prose, rows_of, same
 
 def test_directory_splits_and_doubles():
     rng = random.Random(3)
-    counts = {}
+    counts = np.zeros(1 << 8, dtype=np.int64)
     for _ in range(5000):
-        p = rng.randrange(1 << 4) if rng.random() < 0.5 else rng.randrange(1 << 8)
-        counts[p] = counts.get(p, 0) + 1
+        counts[rng.randrange(1 << 4) if rng.random() < 0.5 else rng.randrange(1 << 8)] += 1
     depth, bucket, local = exact_dedup.grow_directory(counts, capacity=100, max_depth=8)
     assert len(bucket) == 1 << depth and depth == local.max()
     load = {}
-    for p, n in counts.items():
+    for p, n in enumerate(counts):
         at = p >> (8 - depth)
         load[bucket[at]] = load.get(bucket[at], 0) + n
     for b, n in load.items():
@@ -28,8 +27,8 @@ def test_directory_splits_and_doubles():
 
 def test_index_is_owned_by_ranges(spark):
     d = docs(spark, [(i, f"text {i % 700}") for i in range(1500)])
-    entries, directory = exact_dedup.build_index(d, capacity=50, max_depth=10)
-    assert entries.count() == 1500
+    entries, directory = exact_dedup.build_index(d, capacity=50)
+    assert entries.count() == 700 and sorted({r.n for r in entries.collect()}) == [2, 3]  # a row a key, with its chain
     owners = entries.select("bucket", F.input_file_name().alias("f")).groupBy("bucket").agg(F.countDistinct("f").alias("n"))
     assert owners.where("n > 1").count() == 0
     assert directory.count() == 1 << directory.agg(F.max("local_depth")).first()[0]
@@ -40,7 +39,7 @@ def test_against_sql_and_brute_force(spark, tmp_path):
     texts = [prose(rng, EN, 5) for _ in range(60)]
     rows = [(i, rng.choice(texts)) for i in range(300)]
     d = docs(spark, rows).cache()
-    same(exact_dedup.exact_dedup(d, 16, 8), exact_dedup.oracle(), d, tmp_path)
+    same(exact_dedup.exact_dedup(d, 16), exact_dedup.oracle(), d, tmp_path)
     want = {}
     for i, t in rows:
         want[t] = min(i, want.get(t, i))
@@ -53,6 +52,27 @@ def test_colliding_keys_are_told_apart_by_bytes(spark, monkeypatch):
     assert rows_of(exact_dedup.exact_dedup(d)) == [(1, 1, True), (2, 2, True), (3, 1, False), (4, 4, True)]
 
 
+def test_the_depth_follows_the_entries(spark):
+    for n in (200, 5000):
+        d = spark.range(n).selectExpr("id AS doc_id", "concat('t', id) AS text")
+        entries, directory = exact_dedup.build_index(d, capacity=8)
+        load = entries.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        assert load[0] <= 8 and load[1] == n
+
+
+def test_owners_add_up_chains_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        d = docs(spark, [(i, f"text {i * i % 11}") for i in range(200)])
+        entries, _ = exact_dedup.build_index(d, capacity=16)
+        want = {}
+        for i in range(200):
+            want[i * i % 11] = want.get(i * i % 11, 0) + 1
+        assert sorted(r.n for r in entries.collect()) == sorted(want.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hard_rows(spark):
     d = docs(spark, hard_rows())
     kept = exact_dedup.drop_copies(crowded(d))
