@@ -170,7 +170,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = BINS, nodes: int
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens_of(F.col("text")).alias("n"))
     groups = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // (capacity * bins)))
     # packing costs time, not bytes: a number of tasks that is given isn't merged for small size
-    tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # and there are several a core, as the time of a group varies
+    tasks = min(groups, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int"))
     placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "piece"), F.lit(groups))).repartition(tasks, "g").sortWithinPartitions("g", "size", "doc_id", "piece").select("g", "doc_id", "piece", "size")
