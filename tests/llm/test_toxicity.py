@@ -42,7 +42,7 @@ def test_lexicon_is_learned_without_copies(scorer):
     assert set(scorer.lexicon) == set(BAD)
 
 
-@pytest.mark.parametrize("text, word", [("you bl0ckh3ad", "blockhead"), ("d i m w i t", "dimwit"), ("a n-u-m-b-s-k-u-l-l !", "numbskull"), ("n1tw1t", "nitwit"), ("dimmmmwiiiit", "dimwit"), ("W0RTHL3$$", "worthless"), ("n i t w 1 t", "nitwit"), ("ｄｉｍｗｉｔ", "dimwit")])
+@pytest.mark.parametrize("text, word", [("you bl0ckh3ad", "blockhead"), ("d i m w i t", "dimwit"), ("a n-u-m-b-s-k-u-l-l !", "numbskull"), ("n1tw1t", "nitwit"), ("dimmmmwiiiit", "dimwit"), ("W0RTHL3$$", "worthless"), ("n i t w 1 t", "nitwit"), ("ｄｉｍｗｉｔ", "dimwit"), ("𝐝𝐢𝐦𝐰𝐢𝐭", "dimwit"), ("𝓷𝓲𝓽𝔀𝓲𝓽", "nitwit"), ("ⓓⓘⓜⓦⓘⓣ", "dimwit"), ("dіmwіt", "dimwit"), ("blосkhеаd", "blockhead"), ("🅳🅸🅼🆆🅸🆃", "dimwit"), ("DΙMWΙT", "dimwit")])
 def test_obfuscated_words_are_restored(scorer, text, word):
     assert [w for w, _ in scorer.hits([text])[0]] == [word]
 
@@ -74,6 +74,53 @@ def test_spans_are_those_of_brute_force(scorer):
     assert agree >= 58  # decoding the whole text and decoding its spans give the same words
 
 
+def by_enumeration(text, model):
+    """The least cost of all ways through the lattice, and the readings that have it."""
+    found = {}
+
+    def go(i, last, again, cost, out):
+        a, b, c = last
+        if i == len(text):
+            if c:
+                cost -= float(model[a, b, c, 0])
+            said = " ".join(out.split())
+            found[said] = min(cost, found.get(said, cost))
+            return
+        ch, letter = text[i], T._fold(text[i])
+        emits = [(ord(letter) - 96, 0.0)] if letter else [(ord(x) - 96, T.C_LEET) for x in T.LEET.get(ch, "")]
+        drop, keep = (0.0, 0.0 if ch in T.PUNCTUATION else T.C_SYMBOL) if emits else T._spacing(text, i)
+        for x, price in emits:
+            go(i + 1, (b, c, x) if c else (0, 0, x), False, cost + price - float(model[a, b, c, x]), out + chr(96 + x))
+            if c == x:
+                go(i + 1, last, True, cost + (T.C_AGAIN if again else T.C_REPEAT), out)
+        if not letter:
+            if not c:
+                go(i + 1, (0, 0, 0), False, cost, out)
+            else:
+                go(i + 1, (0, 0, 0), False, cost + keep - float(model[a, b, c, 0]), out + " ")
+                if not emits:
+                    go(i + 1, last, again, cost + drop, out)
+
+    go(0, (0, 0, 0), False, 0.0, "")
+    least = min(found.values())
+    return {k for k, v in found.items() if v < least + 1e-9}
+
+
+def test_decoding_is_the_best_of_all_ways(scorer):
+    rng = random.Random(31)
+    assert by_enumeration("n 1 t w i t", scorer.model) == {"nitwit"}
+    for _ in range(300):
+        text = "".join(rng.choice("aadeiinotww1!0|. -$9") for _ in range(rng.randrange(0, 9)))
+        assert T.decode(text, scorer.model) in by_enumeration(text, scorer.model), text
+
+
+def test_copies_of_a_labelled_text_outweigh_nothing():
+    rng = random.Random(7)
+    rows = [(1.0, prose(rng, EN, 20) + " dimwit " + prose(rng, EN, 9)) for _ in range(12)] + [(0.0, prose(rng, EN, 40)) for _ in range(100)]
+    lexicon, _ = T.learn_words(rows + [(1.0, "one dimwit here")] * 60)
+    assert "dimwit" in lexicon
+
+
 def test_detects_held_out_documents(spark):
     d, labels = frames(spark)
     fresh, truth = corpus(seed=99, n=200)

@@ -1,12 +1,13 @@
 """Toxicity behind obfuscation: a noisy channel decoded by Viterbi, then a score of what it restores.
 
-The channel writes letters as look-alikes (leetspeak), puts separators between letters and repeats
+The channel writes letters as look-alikes (leetspeak, letters of other scripts, letter signs of all planes), puts separators between letters and repeats
 letters. A character 4-gram model, counted over all documents (Python workers count, the JVM adds up),
 says how likely a restored string is; the Viterbi path through the lattice of readings is the text.
 
 Words are scored by log-odds learned from labelled documents, a bounded sample of `max_train` of
 them. A word belongs to the lexicon if its odds are at least e**MIN_WEIGHT and its toxic
-documents hold it in many different contexts: copies of one labelled document share theirs.
+documents hold it in many different contexts. Equal labelled texts are learned from once, so copies of one
+document outweigh nothing. Only words of the Latin script are learned.
 
 Only a span that the channel can make from a lexicon word can change a score, so lattices are
 built for those spans alone. They are found exactly: letters that share a look-alike form one
@@ -24,6 +25,7 @@ import math
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, class_table, code_points, grams
+from .common import chunks, code_points, grams
 from .quality import labelled_sample
 
 WIDTH = 27
@@ -40,6 +42,9 @@ MIN_WEIGHT = 3.0
 MIN_CONTEXTS = 5
 THRESHOLD = 0.95
 LEET = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "6": "g", "9": "g", "(": "c", "<": "c", "€": "e", "£": "l", "2": "z"}
+#: Letters of other scripts that look like one of a-z
+LEET |= dict(zip("аеорсухіјѕһԁӏкмтвнгипьαοριυκχτενβγωημ", "aeopcyxijshdlkmtbhrunbaopiukxtevbywnu"))
+LEET |= {k.upper(): v for k, v in LEET.items() if k.upper() != k and len(k.upper()) == 1} | {"Η": "h", "Υ": "y", "Β": "b", "Χ": "x", "Ν": "n", "Ζ": "z", "Р": "p"}
 #: Channel costs in nats: a look-alike, the first and each further repetition of a letter, a separator
 #: dropped between two single letters or beside one, white space or another sign dropped elsewhere.
 C_LEET, C_REPEAT, C_AGAIN, C_SINGLE, C_BESIDE, C_SPACE, C_SIGN = 1.0, 6.0, 0.3, 0.3, 3.0, 12.0, 2.0
@@ -73,10 +78,28 @@ def collapse(word: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """1-26 by code point for whatever reads as a letter a-z after folding case, accents and compatibility forms
+    (circled, squared, fullwidth and mathematical letters), 0 for the rest."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for cp in (*range(0x3000), *range(0xA640, 0xABFF), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B), *range(0x1D400, 0x1D800), *range(0x1F110, 0x1F18A)):
+        ch = chr(cp)
+        whole = unicodedata.normalize("NFKD", ch).lower().strip("()")
+        first = unicodedata.normalize("NFKD", ch.lower())[:1]
+        if ch.isalpha() and "a" <= first <= "z":
+            out[cp] = ord(first) - 96
+        elif len(whole) == 1 and "a" <= whole <= "z":
+            out[cp] = ord(whole) - 96
+        elif 0x1F150 <= cp < 0x1F16A or 0x1F170 <= cp < 0x1F18A:  # negative letters, which have no such form
+            out[cp] = (cp - 0x1F150) % 32 + 1
+    return out
+
+
+@lru_cache(maxsize=1)
 def _class_codes() -> np.ndarray:
-    table = class_table(WIDTH, True).copy()
     merged = np.array([0] + [ord(_CLASS[chr(96 + k)]) - 96 for k in range(1, 27)], dtype=np.uint8)
-    table = merged[table]
+    table = merged[_letters()]
     for sign, letters in LEET.items():
         table[ord(sign)] = ord(_CLASS[letters[0]]) - 96
     return table
@@ -84,15 +107,14 @@ def _class_codes() -> np.ndarray:
 
 def fold_words(text: str) -> list[str]:
     """Words of a-z after folding case and accents; all else separates."""
-    cp = code_points(text)
-    cls = class_table(WIDTH, True)[np.where(cp > 0xFFFF, 0, cp)]
+    cls = _letters()[code_points(text)]
     return np.where(cls == 0, 32, cls + 96).astype(np.uint8).tobytes().decode("ascii").split()
 
 
 def _fold(ch: str) -> str:
     """The a-z letter of a character, '' if it has none."""
-    low = unicodedata.normalize("NFKD", ch.lower())[:1]
-    return low if "a" <= low <= "z" and ch.isalpha() else ""
+    cls = _letters()[ord(ch)]
+    return chr(96 + cls) if cls else ""
 
 
 def char_model(counts: np.ndarray) -> np.ndarray:
@@ -173,7 +195,7 @@ class Scorer:
     def windows(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         """(text, start, end) of the white-space tokens that a lexicon word may hide in."""
         cp = code_points("\n".join(texts) + "\n")
-        cls = self.table[np.where(cp > 0xFFFF, 0, cp)]
+        cls = self.table[cp]
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
         cls[ends - 1] = 27  # what no pattern crosses
         at = np.flatnonzero(cls)
@@ -244,7 +266,7 @@ def learn_words(rows: list[tuple[float, str]]) -> tuple[dict[str, float], float]
     """(lexicon, bias) from rows (label, text)."""
     toxic, clean, contexts = Counter(), Counter(), defaultdict(set)
     n = [0, 0]
-    for label, text in sorted(rows, key=lambda r: -r[0]):
+    for label, text in sorted(set(rows), key=lambda r: -r[0]):
         bad = label >= 0.5
         n[bad] += 1
         words = fold_words(text)
