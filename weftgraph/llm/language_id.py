@@ -5,6 +5,8 @@ workers count character 4-grams with numpy, the JVM adds up (language, 4-gram) c
 driver turns the distinct 4-grams - a number bounded by the alphabet, not by the corpus - into
 interpolated Kneser-Ney tables: sorted arrays of 64-bit n-gram hashes with one column a language.
 Scoring is one narrow pass: a text goes to the language of the lowest cross-entropy a character.
+The characters of a model are a-z, the boundary between words, and 21 classes that all other letters share by
+code point: enough to tell languages and scripts apart, not to read them.
 
 Rejection is calibrated on the corpus counts themselves. For each language they give the mean and
 variance of a character's code length; a null text of independently drawn characters of the same
