@@ -369,9 +369,9 @@ def _updated(spark: SparkSession, sf: str) -> tuple[Tables, Tables]:
 
 
 _UPDATE_SQL = _GRAPH + """
-kn AS (SELECT * FROM n WHERE item NOT IN ('customers:5', 'customers:3')),
+kn AS MATERIALIZED (SELECT * FROM n WHERE item NOT IN ('customers:5', 'customers:3')),
 un AS MATERIALIZED (SELECT id, label, type, item FROM kn UNION ALL SELECT 'customer:' || c_custkey, 'New ' || c_name, 'function', 'customers:3' FROM customer WHERE c_nationkey = 3),
-ue AS MATERIALIZED (SELECT source, target, relation, item FROM e WHERE coalesce(item, '') NOT IN ('customers:5', 'customers:3') AND source IN (SELECT id FROM kn) AND target IN (SELECT id FROM kn)
+ue AS MATERIALIZED (SELECT source, target, relation, item FROM e WHERE coalesce(item, '') NOT IN ('customers:5', 'customers:3') AND EXISTS (SELECT 1 FROM kn WHERE kn.id = source) AND EXISTS (SELECT 1 FROM kn WHERE kn.id = target)
   UNION ALL SELECT 'customer:' || c_custkey, 'customer:' || c_custkey, 'renews', 'customers:3' FROM customer WHERE c_nationkey = 3),"""
 
 
@@ -386,11 +386,11 @@ def incremental_update_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_UPDATE_SQL + """
-d AS (SELECT CASE WHEN n.id IS NULL THEN 'added_node' WHEN un.id IS NULL THEN 'removed_node' ELSE 'changed_node' END AS kind, coalesce(un.id, n.id) AS key, nullif(coalesce(un.item, n.item), '') AS item
+d AS MATERIALIZED (SELECT CASE WHEN n.id IS NULL THEN 'added_node' WHEN un.id IS NULL THEN 'removed_node' ELSE 'changed_node' END AS kind, coalesce(un.id, n.id) AS key, nullif(coalesce(un.item, n.item), '') AS item
   FROM n FULL JOIN un ON n.id = un.id WHERE n.id IS NULL OR un.id IS NULL OR n.label <> un.label),
-x AS (SELECT DISTINCT source || ':' || target || ':' || relation || ':' || coalesce(item, '') || ':key' AS k FROM e), y AS (SELECT DISTINCT source || ':' || target || ':' || relation || ':' || coalesce(item, '') || CASE relation WHEN 'renews' THEN ':' ELSE ':key' END AS k FROM ue)
+x AS MATERIALIZED (SELECT DISTINCT source || ':' || target || ':' || relation || ':' || coalesce(item, '') || ':key' AS k FROM e), y AS MATERIALIZED (SELECT DISTINCT source || ':' || target || ':' || relation || ':' || coalesce(item, '') || CASE relation WHEN 'renews' THEN ':' ELSE ':key' END AS k FROM ue)
 SELECT kind, key FROM d UNION ALL SELECT DISTINCT 'changed_source', item FROM d WHERE item IS NOT NULL
-UNION ALL SELECT 'removed_edge', k FROM x WHERE k NOT IN (SELECT k FROM y) UNION ALL SELECT 'added_edge', k FROM y WHERE k NOT IN (SELECT k FROM x)""")
+UNION ALL SELECT 'removed_edge', k FROM x ANTI JOIN y USING (k) UNION ALL SELECT 'added_edge', k FROM y ANTI JOIN x USING (k)""")
 def graph_diff(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _updated(spark, sf)
     return history.diff(*old, *new)
@@ -455,34 +455,25 @@ def surprising_top5(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.surprising_connections(*entities(spark, sf))
 
 
-def _sparse(spark: SparkSession, sf: str) -> Tables:
-    """The entity graph without orders, tags, regions and half the nations: many components."""
-    nodes, edges = entities(spark, sf)
-    kept = nodes.where("type not in ('chunk', 'tag', 'document') and not id rlike '^nation:[0-9]*[02468]$'")
-    return kept, build.with_endpoints(edges, kept)
-
-
-_SPARSE = _GRAPH.replace("n AS MATERIALIZED (", "n0 AS MATERIALIZED (").replace("ee AS (", "n AS MATERIALIZED (SELECT * FROM n0 WHERE type NOT IN ('chunk', 'tag', 'document') AND NOT regexp_matches(id, '^nation:[0-9]*[02468]$')),\nee AS (")
-
-
-@query(_SPARSE + _COMPONENTS + "z AS (SELECT 1) SELECT id, c AS root FROM cc")
+@query(_GRAPH + _COMPONENTS + "z AS (SELECT 1) SELECT id, c AS root FROM cc")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.components(*_sparse(spark, sf))
+    return analyze.components(*entities(spark, sf))
 
 
-@query()
-def connected_components_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.components(*entities(spark, sf))
+@query("WITH RECURSIVE " + _LINK_SQL + """, n AS MATERIALIZED (SELECT DISTINCT doc AS id FROM p UNION SELECT node FROM l),
+a AS MATERIALIZED (SELECT doc AS x, node AS y FROM l UNION SELECT node, doc FROM l UNION SELECT source, target FROM i UNION SELECT target, source FROM i),
+cc(id, c) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT a.y, min(cc.c) FROM cc JOIN a ON a.x = cc.id JOIN recurring.cc k ON k.id = a.y WHERE cc.c < k.c GROUP BY a.y))
+SELECT id, c AS root FROM cc""")
+def page_components(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.components(*build.build(*_pages(spark, sf)))
 
 
-@query(_SPARSE + _COMPONENTS + """g AS (SELECT c, count(*) AS size, min(o) AS first, coalesce(arg_min(label, o) FILTER (type NOT IN ('tag', 'resource')), 'Community') AS label, md5(string_agg(id, ',' ORDER BY o)) AS members FROM cc JOIN n USING (id) GROUP BY c)
-SELECT (row_number() OVER (ORDER BY size DESC, first) - 1)::INT AS community, label, size, members FROM g""")
-def community_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.communities(*_sparse(spark, sf)).select("community", "label", "size", F.md5(F.array_join("node_ids", ",").cast("binary")).alias("members"))
+_MEMBERS = """g AS MATERIALIZED (SELECT c, count(*) AS size, min(o) AS first, coalesce(arg_min(label, o) FILTER (type NOT IN ('tag', 'resource')), 'Community') AS label FROM cc JOIN n USING (id) GROUP BY c),
+num AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY size DESC, first) - 1)::INT AS community FROM g),"""
 
 
-@query()
-def community_labels_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(_GRAPH + _COMPONENTS + _MEMBERS + "z AS (SELECT 1) SELECT community, label, size, id FROM cc JOIN num USING (c)")
+def community_labels(spark: SparkSession, sf: str) -> DataFrame:
     """A row for each member: the largest community holds most of the graph and need not fit in one."""
     members, summary = analyze.community_members(*entities(spark, sf))
     return members.join(summary, "community").select("community", "label", "size", "id")
@@ -498,21 +489,17 @@ def pagerank30(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.page_rank(*entities(spark, sf)).select("id", F.round(F.col("rank") * 1_000_000, 6).alias("rank_ppm"))
 
 
-def _geo(spark: SparkSession, sf: str) -> Tables:
-    nodes, edges = entities(spark, sf)
-    kept = nodes.where("type in ('document', 'class', 'interface')")
-    return kept, build.with_endpoints(edges, kept)
-
-
-#: Regions, nations and suppliers are a forest: node v splits its tree into its branches.
-_GEO = _GRAPH + """
-gn AS (SELECT * FROM n WHERE type IN ('document', 'class', 'interface')), ge AS (SELECT * FROM e WHERE source IN (SELECT id FROM gn) AND target IN (SELECT id FROM gn)),
-w AS (SELECT id, count(s.source) AS w FROM gn LEFT JOIN ge s ON s.target = gn.id WHERE gn.type = 'class' GROUP BY id),
-rg AS (SELECT target AS region, sum(w + 1) AS below, sum((w + 1) * (w + 1)) AS squares, count(*) AS branches FROM ge JOIN w ON w.id = ge.source GROUP BY target),
-"""
+def _catalog(spark: SparkSession, sf: str) -> Tables:
+    """Brands, types and sizes of all parts, and which of them a part has together: a graph full of cycles whose
+    nodes are few at any scale."""
+    part = _read(spark, sf, "part").select("p_partkey", _id("brand", "p_brand").alias("brand"), _id("type", "p_type").alias("kind"), _id("size", "p_size").alias("extent"))
+    order = F.col("p_partkey") * 4
+    ends = part.select(F.inline(F.array(*[F.struct(build.ord_of(F.lit(k), order + k).alias("ord"), F.col(c).alias("id"), F.col(c).alias("label"), F.lit("concept").alias("type"), F.lit(c).alias("source_item_id")) for k, c in enumerate(("brand", "kind", "extent"))])))
+    links = part.select(F.inline(F.array(*[F.struct(build.ord_of(F.lit(k), order + k).alias("ord"), F.col(a).alias("source"), F.col(b).alias("target"), F.lit("goes_with").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.lit("part").alias("source_item_id"), F.lit("key").alias("context")) for k, (a, b) in enumerate((("brand", "kind"), ("kind", "extent")))])))
+    return build.build(ends, links)
 
 
-def _betweenness(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+def _betweenness(nodes: DataFrame, edges: DataFrame, limit: int = analyze.BETWEENNESS_NODES) -> DataFrame:
     """(id, betweenness), without rows above `limit` nodes."""
     found = analyze.betweenness(nodes, edges, limit=limit)
     if found is None:
@@ -520,21 +507,20 @@ def _betweenness(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     return found.select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query(_GEO + """
-b AS (SELECT region AS id, (below * below - squares)::DOUBLE AS b FROM rg
-  UNION ALL SELECT w.id, ((rg.below + 1 - 1)::DOUBLE * (rg.below + 1 - 1) - w.w - (rg.below - w.w)::DOUBLE * (rg.below - w.w))::DOUBLE FROM w JOIN ge ON ge.source = w.id JOIN rg ON rg.region = ge.target)
-SELECT gn.id, round(coalesce(b, 0) * 2 / ((SELECT count(*) FROM gn)::DOUBLE - 1) / ((SELECT count(*) FROM gn) - 2), 9) AS betweenness FROM gn LEFT JOIN b ON b.id = gn.id""")
+#: Walks of the length of the shortest path between two nodes are its shortest paths.
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'brand:' || p_brand AS s, 'type:' || p_type AS t FROM part UNION SELECT DISTINCT 'type:' || p_type, 'size:' || p_size FROM part),
+a AS MATERIALIZED (SELECT s AS x, t AS y FROM e UNION ALL SELECT t, s FROM e), v AS MATERIALIZED (SELECT DISTINCT x AS id FROM a),
+w(d, s, t, n) AS (SELECT 0, id, id, 1.0::DOUBLE FROM v UNION ALL SELECT max(d) + 1, s, y, sum(n) FROM w JOIN a ON x = t WHERE d < 8 GROUP BY s, y),
+sp AS MATERIALIZED (SELECT s, t, min(d) AS d, arg_min(n, d) AS n FROM w GROUP BY s, t),
+b AS (SELECT p.t AS id, sum(p.n * q.n / r.n) AS b FROM sp p JOIN sp q ON q.s = p.t JOIN sp r ON r.s = p.s AND r.t = q.t AND r.d = p.d + q.d WHERE p.s <> p.t AND q.s <> q.t AND p.s <> q.t GROUP BY p.t),
+c AS (SELECT count(*)::DOUBLE AS n FROM v)
+SELECT v.id, round(coalesce(b, 0) * 2 / ((n - 1) * (n - 2)), 9) AS betweenness FROM v CROSS JOIN c LEFT JOIN b USING (id) WHERE n <= 500""")
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return _betweenness(*_geo(spark, sf), limit=100_000)
-
-
-@query(_GEO + """d AS (SELECT region AS id, branches AS degree FROM rg WHERE branches > 1 UNION ALL SELECT id, w + 1 FROM w WHERE w > 0) SELECT d.id, gn.label, d.degree::BIGINT AS degree FROM d JOIN gn USING (id)""")
-def bridge_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.bridge_nodes(*_geo(spark, sf))
+    return _betweenness(*_catalog(spark, sf))
 
 
 @query()
-def bridge_nodes_whole(spark: SparkSession, sf: str) -> DataFrame:
+def bridge_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.bridge_nodes(*entities(spark, sf))
 
 
@@ -559,8 +545,8 @@ def k_hop(spark: SparkSession, sf: str) -> DataFrame:
     return search.query_graph(*entities(spark, sf), "asia")[0].select("id", "hop")
 
 
-@query(_GRAPH + _BOTH + _SEEDS + """h1 AS (SELECT id FROM seed), h2 AS (SELECT id FROM h1 UNION SELECT y FROM a WHERE x IN (SELECT id FROM h1))
-SELECT source, target, relation FROM e WHERE source IN (SELECT id FROM h2) OR target IN (SELECT id FROM h2)""")
+@query(_GRAPH + _BOTH + _SEEDS + """h1 AS MATERIALIZED (SELECT id FROM seed), h2 AS MATERIALIZED (SELECT id FROM h1 UNION SELECT a.y FROM a JOIN h1 ON h1.id = a.x)
+SELECT e.source, e.target, e.relation FROM e LEFT JOIN h2 s ON s.id = e.source LEFT JOIN h2 t ON t.id = e.target WHERE s.id IS NOT NULL OR t.id IS NOT NULL""")
 def k_hop_edges(spark: SparkSession, sf: str) -> DataFrame:
     return search.query_graph(*entities(spark, sf), "asia")[1].select("source", "target", "relation")
 
@@ -600,15 +586,8 @@ def cypher_lines(spark: SparkSession, sf: str) -> DataFrame:
     return art.cypher_lines(*entities(spark, sf)).select("line")
 
 
-@query(_SPARSE + _COMPONENTS + """g AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(o)) - 1 AS community FROM cc JOIN n USING (id) GROUP BY c),
-m AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY o) AS rank, label, type FROM n JOIN cc USING (id) JOIN g USING (c)) SELECT community::INT AS community, rank::INT AS rank, label, type FROM m WHERE rank <= 25""")
+@query(_GRAPH + _COMPONENTS + _MEMBERS + """m AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY o) AS rank, n.label, type FROM n JOIN cc USING (id) JOIN num USING (c)) SELECT community, rank::INT AS rank, label, type FROM m WHERE rank <= 25""")
 def wiki_members(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _sparse(spark, sf)
-    return art.wiki_members(analyze.assign_communities(nodes, analyze.community_members(nodes, edges)[0]))
-
-
-@query()
-def wiki_members_whole(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = entities(spark, sf)
     return art.wiki_members(analyze.assign_communities(nodes, analyze.community_members(nodes, edges)[0]))
 
@@ -621,18 +600,8 @@ def _items(spark: SparkSession, sf: str, table: str, id_: Column, text: Column,
     return sources.normalize(df.select(id_.alias("id"), text.alias("text"), path.alias("path"), F.col(order)), order)
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g') AS label, text FROM documents WHERE regexp_matches(text, '^[A-Za-zÀ-ÿ]') AND NOT regexp_matches(text, '[^A-Za-zÀ-ÿ,. ]'))
-SELECT doc_id, regexp_replace(substr(label, 1, 120), '\s+$', '') AS label, 'doc:' || doc_id || ':chunk:0' AS id FROM t WHERE label <> ''""")
-def doc_chunks_basic(spark: SparkSession, sf: str) -> DataFrame:
-    # texts of one line of plain words: any engine agrees that they are one paragraph
-    plain = _read(spark, sf, "documents").where(F.col("text").rlike("^[A-Za-zÀ-ÿ]") & ~F.col("text").rlike("[^A-Za-zÀ-ÿ,. ]"))
-    items = sources.normalize(plain.select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id"), "doc_id")
-    nodes, _ = _built(extract.extract(items))
-    return nodes.where("type = 'chunk'").select(F.col("source_item_id").cast("bigint").alias("doc_id"), "label", "id")
-
-
 @query()
-def doc_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Each chunk of each document, with its whole text and kind in metadata."""
     items = sources.normalize(_read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id"), "doc_id")
     nodes, _ = _built(extract.extract(items))
