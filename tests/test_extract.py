@@ -1,6 +1,7 @@
 """Parsers on texts by hand."""
 
 import json
+import time
 
 from weftgraph.operators import extract, markdown, script, structured
 
@@ -125,3 +126,26 @@ def test_front_matter():
     assert extract.front_matter("no\n---\n") == ({}, "no\n---\n")
     assert extract.front_matter("---\na: 1\n---\nbody") == ({"a": 1}, "body")
     assert extract.front_matter("---\n---\nbody") == ({}, "body")
+
+
+def test_markdown_of_any_shape_is_read_in_time():
+    texts = ["a \U000f0005 b `x`", "a *b " * 20000, "[" * 12000, "[" * 1500 + "]" * 1500, ">" * 1200 + " x", "`a` " * 131000, "[" * 1500 + "x" + "](u)" * 1500, "x" + " " * 100000 + "y", "` `` " * 20000, "<!-- " * 20000, "*_~" * 20000, "[a](" * 20000, "- " * 900 + "x"]
+    for text in texts:
+        began = time.time()
+        assert markdown.blocks(text)
+        assert time.time() - began < 10, text[:20]
+
+
+def test_html_blocks_end_where_they_say():
+    got = [(b.kind, b.line) for b in markdown.blocks("<script>\n\n# no\n\n</script>\n# yes\n\n<!-- a\n\n# no\n-->\n\n<div>\n# no\n\n# yes")]
+    assert got == [("html", 1), ("heading", 6), ("html", 8), ("html", 13), ("heading", 16)]
+
+
+def test_emphasis_and_nested_links():
+    assert markdown.inline("***both*** **a *b* c** _x_y_ 2 * 3 `*` \\*") == ("both a b c x_y 2 * 3 * *", [])
+    assert markdown.inline("[out *[in](x)* side](y) ![i [j](q)](p)") == ("out in side i j", [("y", 1), ("x", 1)])
+
+
+def test_front_matter_keys_are_strings():
+    nodes, _ = extract.extract_markdown({"id": "a", "text": "---\n2024-01-02: x\ntrue: 1\n3: {4: y}\ntitle: T\n---\nbody"})
+    assert json.loads(nodes[0]["metadata"])["frontmatter"].keys() == {"2024-01-02", "true", "3", "title"}

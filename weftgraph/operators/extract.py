@@ -42,7 +42,14 @@ def front_matter(text: str) -> tuple[dict, str]:
         data = structured.simple_yaml(m[1])
     else:
         data = yaml.safe_load(m[1])
-    return (data if isinstance(data, dict) else {}), text[m.end() :]
+    return (_keyed(data) if isinstance(data, dict) else {}), text[m.end() :]
+
+
+def _keyed(value):
+    """Maps have strings as keys, whatever YAML reads there."""
+    if isinstance(value, dict):
+        return {k if isinstance(k, str) else "null" if k is None else str(k).lower() if isinstance(k, bool) else str(k): _keyed(v) for k, v in value.items()}
+    return [_keyed(v) for v in value] if isinstance(value, list) else value
 
 
 def inline_tags(text: str) -> list[str]:
