@@ -40,7 +40,8 @@ def strip_diacritics(c: Column) -> Column:
     multi = out
     for ch, folded in more.items():
         multi = F.replace(multi, F.lit(ch), F.lit(folded))
-    return F.when(out.rlike("[" + "".join(more) + "]"), multi).otherwise(out)
+    # text of ASCII only, the usual case, passes as it is
+    return F.when(F.octet_length(c) == F.char_length(c), c).when(c.rlike("[" + "".join(more) + "]"), multi).otherwise(out)
 
 
 def normalize_label(c: Column) -> Column:

@@ -131,7 +131,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, D
     combined = _combine(keys).withColumn("position", _prefix(F.col("key"), depth))
     placed = combined.join(F.broadcast(places) if len(bucket) <= BROADCAST_POSITIONS else places, "position")
     owners = max(1, -(-total // (capacity * 16)))
-    owned = placed.select("key", "n", "bucket").repartition(owners, F.expr(f"bucket * {owners} div {int(bucket.max()) + 1}"))
+    owned = placed.select("key", "n", "bucket").repartitionById(owners, F.expr(f"cast(bucket * {owners} div {int(bucket.max()) + 1} as int)"))
     _chain(owned.sortWithinPartitions("bucket", "key")).write.parquet(f"{path}/entries")
     return spark.read.schema("key bigint, n bigint, bucket bigint").parquet(f"{path}/entries"), directory
 

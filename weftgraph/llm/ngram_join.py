@@ -518,8 +518,9 @@ def _join(rows: DataFrame, n: int, threshold: float, block_tokens: int) -> tuple
     # owners hold some CHUNK_TOKENS codes each, at seven bytes a word or more
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(tasks, -(-size // (7 * CHUNK_TOKENS)))
-    counted = _count_lists(_send_codes(rows, n, parts).repartition(parts, "p").sortWithinPartitions("p"))
-    gathered = _gather(counted.repartition(parts, "target").sortWithinPartitions("target"), threshold)
+    counted = _count_lists(_send_codes(rows, n, parts).repartitionById(parts, "p").sortWithinPartitions("p"))
+    home = F.expr("cast(pmod((target >> 32) + (target & 4294967295) * 7919, 1048573) as int)")  # chunks of a task go to different ones
+    gathered = _gather(counted.repartitionById(parts, home).sortWithinPartitions("target"), threshold)
     gathered = write_table(gathered.withColumn("uid", F.monotonically_increasing_id()), "ngram-sets")
 
     own = F.when(F.col("codes").isNotNull(), F.col("uid"))
@@ -531,7 +532,7 @@ def _join(rows: DataFrame, n: int, threshold: float, block_tokens: int) -> tuple
 
     chosen = classes.where("uid is not null").select("uid")
     sets = gathered.where("codes is not null").select("uid", "size", "codes").join(_few(chosen), "uid", "left_semi")
-    ties = _tie_lists(_send_short(sets, threshold, tasks).repartition(tasks, "p").sortWithinPartitions("p"))
+    ties = _tie_lists(_send_short(sets, threshold, tasks).repartitionById(tasks, "p").sortWithinPartitions("p"))
     parts_of = components(write_table(ties, "ngram-ties"))
     kind = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9) if 0 < threshold < 1 else F.col("size")
     placed = parts_of.select(F.col("v").alias("uid"), "c").join(classes.select("uid", "size"), "uid").withColumn("kind", kind.cast("bigint")).checkpoint()

@@ -174,7 +174,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = BINS, nodes: int
     tasks = min(groups, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int"))
-    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "piece"), F.lit(groups))).repartition(tasks, "g").sortWithinPartitions("g", "size", "doc_id", "piece").select("g", "doc_id", "piece", "size")
+    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "piece"), F.lit(groups))).repartitionById(tasks, F.expr(f"cast(g % {tasks} as int)")).sortWithinPartitions("g", "size", "doc_id", "piece").select("g", "doc_id", "piece", "size")
 
     def solve(group: int, items: list[tuple]) -> Iterator[tuple]:
         queues: dict[int, deque] = {}

@@ -17,6 +17,8 @@ DATE = _B + "\\d{4}-\\d{2}-\\d{2}" + _B
 FILE = "/(?:workspace|organization)/[^\\s)\\]}]+"
 REPOSITORY = _B + "[\\w.-]+/[\\w.-]+" + _B
 ENTITIES = (("email", EMAIL, "mentions"), ("resource", URL, "links_to"), ("date", DATE, "mentions_date"), ("file_ref", FILE, "references_file"), ("repository", REPOSITORY, "references_repository"))
+#: Under which name an entity's metadata hold it
+ABOUT = {"email": "email", "resource": "href", "date": "date", "file_ref": "path", "repository": "repository"}
 FACT_COLUMNS = {"id": "string", "scope": "string", "key": "string", "value": "string", "tags": "array<string>", "fact_kind": "string", "confidence": "double", "obsolete": "boolean", "last_updated_at": "string", "source_turn": "string"}
 
 
@@ -70,8 +72,12 @@ def extract_facts(items: DataFrame) -> DataFrame:
     def node(id_: Column, label: Column, kind: Column, source: Column = none, path: Column = none, href: Column = none, metadata: Column = none, ref: Column | None = None) -> Column:
         return F.struct(id_.alias("id"), label.alias("label"), kind.alias("type"), source.alias("source_item_id"), none.alias("source_url"), none.alias("source_location"), path.alias("path"), href.alias("href"), none.alias("hash"), none.alias("updated_at"), metadata.alias("metadata"), (F.lit(None).cast(STORAGE_REF) if ref is None else ref).alias("storage_ref"))
 
-    def edge(target: Column, relation: Column) -> Column:
-        return F.struct(F.col("_fact").alias("source"), target.alias("target"), relation.alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.col("id").alias("source_item_id"), none.alias("source_location"), F.lit("memory_fact").alias("context"), none.alias("metadata"))
+    def about(kind: Column, label: Column) -> Column:
+        name = F.coalesce(*[F.when(kind == k, v) for k, v in ABOUT.items()], kind)
+        return F.to_json(F.create_map(name, label))
+
+    def edge(target: Column, relation: Column, metadata: Column = none) -> Column:
+        return F.struct(F.col("_fact").alias("source"), target.alias("target"), relation.alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.col("id").alias("source_item_id"), none.alias("source_location"), F.lit("memory_fact").alias("context"), metadata.alias("metadata"))
 
     def slug(prefix: Column, label: Column) -> Column:
         return F.concat(prefix, F.lit(":"), X.slugify(label))
@@ -81,14 +87,17 @@ def extract_facts(items: DataFrame) -> DataFrame:
         start = F.slice(entries, 1, 0)
         return F.aggregate(entries, start, lambda acc, x: F.when(F.exists(acc, lambda y: y["node"] == x["node"]), acc).otherwise(F.concat(acc, F.array(x))))
 
+    # whatever the item's metadata hold, with the value as it was cut and the kind of source
+    more = "map('value', cast(_value as variant), 'sourceType', cast(coalesce(source_type, 'memory_fact') as variant))"
+    df = df.withColumn("_about", F.expr(f"to_json(map_concat(map_filter(coalesce(from_json(metadata, 'map<string,variant>'), map()), (k, v) -> k not in ('value', 'sourceType')), {more}))"))
     df = df.withColumn("_fact", F.concat(F.lit("fact:"), F.col("id")))
     # each slug is made once and then referred to
     df = df.withColumn("_kind_id", slug(F.lit("fact_kind"), F.col("_kind")))
     df = df.withColumn("_tags", F.transform("_tags", lambda t: F.struct(t.alias("label"), slug(F.lit("tag"), t).alias("node"))))
     df = df.withColumn("_refs", F.transform("_refs", lambda r: F.struct(r["type"].alias("type"), r["label"].alias("label"), r["relation"].alias("relation"), slug(r["type"], r["label"]).alias("node"))))
-    fact = node(F.col("_fact"), F.col("_key"), F.when(F.coalesce("_m.obsolete", F.lit(False)), "obsolete_memory_fact").otherwise("memory_fact"), F.col("id"), metadata=F.col("metadata"), ref=F.col("storage_ref").cast(STORAGE_REF))
+    fact = node(F.col("_fact"), F.col("_key"), F.when(F.coalesce("_m.obsolete", F.lit(False)), "obsolete_memory_fact").otherwise("memory_fact"), F.col("id"), metadata=F.col("_about"), ref=F.col("storage_ref").cast(STORAGE_REF))
     tag_nodes = F.transform(firsts("_tags"), lambda t: node(t["node"], t["label"], F.lit("tag"), metadata=F.to_json(F.struct(t["label"].alias("tag")))))
-    ref_nodes = F.transform(firsts("_refs"), lambda r: node(r["node"], r["label"], r["type"], path=F.when(r["type"] == "file_ref", r["label"]), href=F.when(r["type"] == "resource", r["label"])))
-    nodes = F.concat(F.array(fact, node(F.col("_kind_id"), F.col("_kind"), F.lit("fact_kind"))), tag_nodes, ref_nodes)
-    edges = F.concat(F.array(edge(F.col("_kind_id"), F.lit("classified_as"))), F.transform("_tags", lambda t: edge(t["node"], F.lit("tagged_with"))), F.transform("_refs", lambda r: edge(r["node"], r["relation"])))
+    ref_nodes = F.transform(firsts("_refs"), lambda r: node(r["node"], r["label"], r["type"], path=F.when(r["type"] == "file_ref", r["label"]), href=F.when(r["type"] == "resource", r["label"]), metadata=about(r["type"], r["label"])))
+    nodes = F.concat(F.array(fact, node(F.col("_kind_id"), F.col("_kind"), F.lit("fact_kind"), metadata=F.to_json(F.struct(F.col("_kind").alias("factKind"))))), tag_nodes, ref_nodes)
+    edges = F.concat(F.array(edge(F.col("_kind_id"), F.lit("classified_as"))), F.transform("_tags", lambda t: edge(t["node"], F.lit("tagged_with"))), F.transform("_refs", lambda r: edge(r["node"], r["relation"], about(r["type"], r["label"]))))
     return df.select(F.col("item_seq").cast("bigint").alias("item_seq"), F.col("id").alias("item_id"), nodes.alias("nodes"), edges.alias("edges"), none.alias("error"))

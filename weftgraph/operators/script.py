@@ -25,7 +25,7 @@ _TOKEN = re.compile(
 )
 _NO_VALUE = {"return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "new", "instanceof", "yield", "await"}
 _MODIFIERS = {"public", "private", "protected", "static", "readonly", "async", "abstract", "override", "declare", "get", "set", "accessor"}
-_STARTS = set("const let var function class interface type enum export import return if for while".split())
+_STARTS = set("const let var function class interface type enum export import return if for while namespace module declare abstract async".split())
 _NOT_CALLED = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "import", "super", "with", "new", "constructor", "yield", "void", "delete"}
 
 

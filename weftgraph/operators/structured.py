@@ -59,6 +59,10 @@ def _kind(v) -> str:
     return {list: "array", str: "string", dict: "object"}.get(type(v), "number")
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def walk(item: dict, document: dict) -> tuple[list[dict], list[dict]]:
     """(nodes, edges) of a JSON or YAML item below its document node."""
     doc, nodes, edges, seen = document["id"], [document], [], set()
@@ -68,7 +72,7 @@ def walk(item: dict, document: dict) -> tuple[list[dict], list[dict]]:
         edges.append({"source": source, "target": target, "relation": relation, "confidence": confidence, "confidence_score": score, "source_item_id": item["id"], "context": context})
 
     try:
-        value = json.loads(item["text"]) if path.lower().endswith(".json") else simple_yaml(item["text"])
+        value = json.loads(item["text"], parse_constant=_no_number) if path.lower().endswith(".json") else simple_yaml(item["text"])
     except ValueError as e:
         nodes.append({"id": f"{doc}:parse_error", "label": "Parse Error", "type": "schema_error", "source_item_id": item["id"], "path": path, "metadata": json.dumps({"message": str(e), "path": path}, sort_keys=True)})
         edge(doc, f"{doc}:parse_error", "contains", "schema_parse", "AMBIGUOUS", 0.2)

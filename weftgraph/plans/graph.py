@@ -40,6 +40,10 @@ class Fragment:
     usage: dict | None = None
 
 
+#: Warnings and errors that reach the driver, each in their own order
+REPORTED = 1000
+
+
 @dataclass
 class Diagnostics:
     warnings: list[str] = field(default_factory=list)
@@ -47,6 +51,11 @@ class Diagnostics:
     skipped_items: list[str] = field(default_factory=list)
     timings: dict[str, float] = field(default_factory=dict)
     model_usage: list[dict] = field(default_factory=list)
+    #: How many there are; warnings and errors above hold the first REPORTED of each, the tables below all
+    warning_count: int = 0
+    error_count: int = 0
+    all_warnings: DataFrame | None = None
+    all_errors: DataFrame | None = None
 
 
 @dataclass
@@ -150,7 +159,7 @@ class Result:
         a = self.analysis
         parts = {"god_nodes": a.god_nodes, "isolated_nodes": a.isolated_nodes, "surprising_connections": a.surprising_connections.orderBy("rank"), "communities": analyze.with_node_ids(a.communities, a.nodes, a.nodes.select("id", "community")).orderBy("community"), "bridge_nodes": a.bridge_nodes, "page_rank": a.page_rank, "confidence_breakdown": a.confidence_breakdown}
         analysis = {art.camel(k): [{art.camel(x): y for x, y in r.asDict().items()} for r in df.collect()] for k, df in parts.items()}
-        about = {art.camel(k): v for k, v in vars(self.diagnostics).items()}
+        about = {art.camel(k): v for k, v in vars(self.diagnostics).items() if not k.startswith("all_")}
         return json.dumps({"graph": json.loads(self.artifacts["json"]), "analysis": analysis, "artifacts": self.artifacts, "diagnostics": about}, indent=spaces, ensure_ascii=False)
 
     def search(self, query: str) -> DataFrame:
@@ -191,7 +200,10 @@ def _extracted(items: DataFrame, options: Options, diagnostics: Diagnostics) ->
     else:
         rows = extract.extract(items, options.extractor)
     rows = stored(rows, "extracted")
-    failed = [r.asDict() for r in extract.errors(rows).limit(1000).collect()]  # a report, not data
+    every = extract.errors(rows)
+    failed = [r.asDict() for r in every.orderBy("item_id", "error").limit(REPORTED).collect()]  # the first of a report
+    diagnostics.error_count += every.count() if len(failed) == REPORTED else len(failed)
+    diagnostics.all_errors = every
     if failed and options.mode == "FAILFAST":
         raise ValueError(f"{failed[0]['item_id']}: {failed[0]['error']}")
     diagnostics.errors += failed
@@ -223,6 +235,14 @@ def _finished(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None)
     return stored(analyze.assign_communities(nodes, members), "nodes"), edges, hyperedges, stored(groups, "communities")
 
 
+def _validated(nodes: DataFrame, edges: DataFrame, diagnostics: Diagnostics) -> None:
+    every = stored(build.validate(nodes, edges).select("message"), "warnings")
+    first = [r.message for r in every.orderBy("message").limit(REPORTED).collect()]
+    diagnostics.warnings += first
+    diagnostics.warning_count += every.count() if len(first) == REPORTED else len(first)
+    diagnostics.all_warnings = every
+
+
 def build_graph(spark: SparkSession, source, options: Options | None = None, order: str | None = None) -> Result:
     """Items from source, their nodes and edges, and the graph of them all."""
     options = options or Options()
@@ -245,7 +265,7 @@ def build_graph(spark: SparkSession, source, options: Options | None = None, ord
     if options.enricher:
         nodes, edges, hyperedges = _enriched(nodes, edges, hyperedges, items, options, diagnostics, build.BEHIND * 2)
     nodes, edges, hyperedges, groups = _finished(nodes, edges, hyperedges)
-    diagnostics.warnings += [r.message for r in build.validate(nodes, edges).limit(1000).collect()]
+    _validated(nodes, edges, diagnostics)
     graph = Graph(nodes, edges, stamp, stamp, stored(timeline, "timeline"), stored(snapshots, "snapshots"), hyperedges)
     return Result(graph, Analysis(nodes, edges, groups), diagnostics, options)
 
@@ -270,7 +290,7 @@ def update_graph(previous: Graph | Result, upsert=None, delete: list[str] | Data
     if options.enricher and not items.isEmpty():
         nodes, edges, hyperedges = _enriched(nodes, edges, hyperedges, items, options, diagnostics, old.last_epoch() + build.BEHIND)
     nodes, edges, hyperedges, groups = _finished(nodes, edges, hyperedges)
-    diagnostics.warnings += [r.message for r in build.validate(nodes, edges).limit(1000).collect()]
+    _validated(nodes, edges, diagnostics)
     changes = stored(history.diff(old.nodes, old.edges, nodes, edges), "changes")
     timeline = old.timeline.unionByName(history.update_timeline(old.nodes, items, deleted, stamp))
     snapshots = old.snapshots.unionByName(history.snapshot(nodes, edges, "update", stamp, groups.count()))

@@ -12,12 +12,16 @@ from pyspark.sql.window import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this user's own."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or the checkpoint folder that the context was given. Where neither is set, a folder of this user's own
+    on a single machine, as in tests; on a cluster that is an error."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if known:
         return known
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + os.path.join(tempfile.gettempdir(), f"weftgraph-{os.getuid()}")
-    spark.sparkContext.setCheckpointDir(own)
+    context.setCheckpointDir(own)
     return own
 
 

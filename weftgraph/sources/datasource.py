@@ -29,12 +29,13 @@ class Descriptors(InputPartition):
         self.values = values
 
 
-def provider_source(provider: Any, name: str, partitions: int = 8) -> type[DataSource]:
-    """A data source class for a provider; register it with spark.dataSource.register."""
+def provider_source(provider: Any, name: str, partitions: int = 8, options: Any = None) -> type[DataSource]:
+    """A data source class for a provider; register it with spark.dataSource.register. Options, if there are any, are
+    what its list is called with."""
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
-            listed = list(provider.list())
+            listed = list(provider.list() if options is None else provider.list(options))
             return [Descriptors(listed[i::partitions]) for i in range(min(partitions, len(listed)))] or [Descriptors([])]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -69,7 +70,7 @@ def provider_source(provider: Any, name: str, partitions: int = 8) -> type[DataS
     return Source
 
 
-def read_provider(spark: SparkSession, provider: Any, name: str = "weftgraph_provider", partitions: int = 8) -> DataFrame:
+def read_provider(spark: SparkSession, provider: Any, name: str = "weftgraph_provider", partitions: int = 8, options: Any = None) -> DataFrame:
     """The items of a provider, read in parallel."""
-    spark.dataSource.register(provider_source(provider, name, partitions))
+    spark.dataSource.register(provider_source(provider, name, partitions, options))
     return spark.read.format(name).load()

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,9 +151,9 @@ def local_files(spark: SparkSession, root: str, extensions: Iterable[str] = EXTE
     prefix = re.sub("^[a-z]+:/+", "/", base) + "/"
     rel = F.regexp_replace(F.url_decode(F.replace(clean, F.lit("+"), F.lit("%2B"))), "^" + re.escape(prefix), "")
 
-    @F.udf("boolean")
-    def dropped(path: str) -> bool:
-        return ignored(path, patterns)
+    @F.pandas_udf("boolean")
+    def dropped(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda path: ignored(path, patterns)).astype(bool)
 
     text = F.decode("content", "UTF-8")
     files = files.select(rel.alias("rel"), text.alias("text"), "content", "modificationTime", clean.alias("full")).where(~F.col("rel").rlike("(^|/)\\.") & ~dropped("rel"))

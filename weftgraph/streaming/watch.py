@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def watch_folder(spark: SparkSession, root: str, folder: str = OUTPUT, options:
             if on_result:
                 on_result(result)
 
-    writer = files.select("path").writeStream.foreachBatch(rebuild).option("checkpointLocation", f"{shared_folder(spark)}/watch-{abs(hash((root, folder)))}")
+    writer = files.select("path").writeStream.foreachBatch(rebuild).option("checkpointLocation", f"{shared_folder(spark)}/watch-{hashlib.sha256(repr((root, folder)).encode()).hexdigest()[:32]}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{debounce_ms} milliseconds")).start()
 
 
