@@ -53,6 +53,26 @@ def test_fillings_are_the_undominated_sets():
     assert packing.dominates((40,), (20, 20)) and not packing.dominates((20, 20), (40,))
 
 
+def test_fillings_come_whole_at_any_waste():
+    rng = random.Random(9)
+    for _ in range(60):
+        rest, room = sorted((rng.randint(1, 30) for _ in range(rng.randint(0, 9))), reverse=True), rng.randint(0, 60)
+        sets = {c for n in range(len(rest) + 1) for c in combinations(rest, n) if sum(c) <= room}
+        want = {a for a in sets if not any(b != a and packing.dominates(b, a) for b in sets)}
+        for waste in (0, 3, room):
+            got = list(packing.fillings(rest, room, waste))
+            assert len(got) == len(set(got)) and set(got) == {a for a in want if room - sum(a) <= waste}
+
+
+def test_a_spent_budget_leaves_the_incumbent():
+    rng = random.Random(10)
+    sizes = [rng.randint(15, 50) for _ in range(40)]
+    for steps in (0, 1, 50):
+        bins = packing.bin_completion(sizes, 100, steps=steps)
+        assert sorted(x for b in bins for x in b) == sorted(sizes)
+        assert len(bins) <= len(packing.best_fit(sizes, 100))
+
+
 def test_every_token_is_packed_once(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, EN, rng.randrange(0, 400))) for i in range(200)] + [(900, prose(rng, EN, 2500))] + hard_rows()

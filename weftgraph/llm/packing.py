@@ -6,10 +6,10 @@ packed for itself, so packing scales with the number of groups and only (id, len
 
 In a group, bin completion takes the largest piece left and enumerates the undominated fillings of
 the room beside it: maximal sets of other pieces, without any whose pieces fit, bin-wise,
-into those of another. Fillings are tried in order of waste. A branch ends when its waste exceeds
+into those of another. Fillings are made one by one in levels of waste, as the search asks for them. A branch ends when its waste exceeds
 what a solution better than the incumbent can afford; best-fit-decreasing solutions, of the
-group and of what each node leaves, are the incumbents. The search has a budget of `nodes` (the
-problem is NP-hard); when that is spent the incumbent stands, so every piece is always packed.
+group and of what each node leaves, are the incumbents. The search of a group has a budget of `nodes` and of
+steps (the problem is NP-hard); when either is spent the search ends and the incumbent stands, so every piece is always packed.
 
 Edge cases: a document without tokens (null, empty, blank) is returned without a bin; equal lengths
 are interchangeable and taken in order of doc_id, null first; repeated rows are packed each; an
@@ -31,8 +31,8 @@ from .mixing import tokens_of
 CAPACITY = 2048
 BINS = 64
 NODES = 400
-#: Steps of one enumeration of fillings; what it found until then is used.
-SETS = 5000
+#: Branches that a group's enumerations of fillings may enter, all together
+STEPS = 100_000
 SCHEMA = "bin_id bigint, doc_id bigint, piece int, bin_offset int, n_tokens int"
 
 
@@ -90,49 +90,59 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(b) <= sum(a) and place(0, a)
 
 
-def fillings(rest: list[int], room: int, waste: int, sets: int = SETS) -> list[tuple[int, ...]]:
-    """Undominated sets of rest (falling order) that fit the room and leave at most `waste`, least
-    waste first."""
+def fillings(rest: list[int], room: int, waste: int, steps: list[int] | None = None) -> Iterator[tuple[int, ...]]:
+    """The undominated sets of rest that fit the room and leave at most `waste`, one by one, by levels of waste.
+
+    What dominates a set leaves no more and comes first in falling order of its pieces, so a set need only be held
+    against those before it. A branch is entered only if pieces that follow add up to an end within the level. Each costs one
+    of steps[0]; when these are spent, the sets end."""
     count = Counter(rest)
     sizes = sorted((s for s in count if s <= room), reverse=True)
-    tail = [0]
+    waste, mask = min(waste, room), (1 << (room + 1)) - 1
+    reach = [1]  # of each place in sizes, reversed: bit x for pieces from there on that add up to x
     for s in reversed(sizes):
-        tail.append(tail[-1] + s * count[s])
-    tail.reverse()
-    found: list[tuple[int, ...]] = []
-    tried = 0
-
-    def grow(i: int, left: int, chosen: tuple[int, ...], skipped: int) -> None:
-        # skipped: the smallest size of which a piece was left out
-        nonlocal tried
-        tried += 1
-        if tried > sets or left - tail[i] > waste:
-            return
-        while i < len(sizes) and sizes[i] > left:
-            i += 1
-        if i == len(sizes):
-            if left < skipped and left <= waste:  # maximal: nothing left out would fit
-                found.append(chosen)
-            return
-        s = sizes[i]
-        for n in range(min(count[s], left // s), -1, -1):
-            grow(i + 1, left - n * s, chosen + (s,) * n, min(skipped, s) if n < count[s] else skipped)
-
-    grow(0, room, (), room + 1)
-    found.sort(key=lambda f: (-sum(f), len(f), f))
+        sums = reach[-1]
+        for _ in range(min(count[s], room // s)):
+            more = sums | sums << s & mask
+            if more == sums:
+                break
+            sums = more
+        reach.append(sums)
+    reach.reverse()
+    steps = [1 << 62] if steps is None else steps
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(dominates(k, f) for k in kept):
-            kept.append(f)
-    return kept
+    low, high = 0, 0
+    while low <= waste:
+        # place in sizes, room left, pieces, and the smallest size of which a piece was left out
+        branches = [(0, room, (), room + 1)]
+        while branches:
+            if steps[0] <= 0:
+                return
+            steps[0] -= 1
+            i, left, chosen, skipped = branches.pop()
+            # maximal: in the end nothing left out would fit
+            least, most = max(0, left - min(high, skipped - 1)), left - low
+            if most < least or not reach[i] >> least & ((1 << (most - least + 1)) - 1):
+                continue
+            while i < len(sizes) and sizes[i] > left:
+                i += 1
+            if i == len(sizes):
+                if not any(dominates(k, chosen) for k in kept):
+                    kept.append(chosen)
+                    yield chosen
+                continue
+            s = sizes[i]
+            for n in range(min(count[s], left // s) + 1):  # the last is taken first
+                branches.append((i + 1, left - n * s, chosen + (s,) * n, min(skipped, s) if n < count[s] else skipped))
+        low, high = high + 1, min(waste, 2 * high + 1)
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of sizes, each at most capacity: optimal unless the budget of nodes ran out."""
+def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES, steps: int = STEPS) -> list[list[int]]:
+    """Bins of sizes, each at most capacity: optimal unless the nodes or steps ran out."""
     best = best_fit(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     total = sum(sizes)
-    spent = 0
+    spent, budget = 0, [steps]
 
     def search(rest: list[int], bins: list[list[int]], left: int) -> None:
         nonlocal best, spent
@@ -145,9 +155,7 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
         if not rest or afford < 0 or len(best) == bound:
             return
         first, others = rest[0], rest[1:]
-        for f in fillings(others, capacity - first, afford):
-            if spent >= nodes or len(best) == bound:
-                return
+        for f in fillings(others, capacity - first, afford, budget):
             used = first + sum(f)
             if len(bins) + 1 + -(-(left - used) // capacity) >= len(best):
                 continue
@@ -158,6 +166,8 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
                 else:
                     after.append(s)
             search(after, [*bins, [first, *f]], left - used)
+            if spent >= nodes or len(best) == bound:  # before the next filling is sought
+                return
 
     if len(best) > bound:
         search(sorted(sizes, reverse=True), [], total)
