@@ -99,3 +99,10 @@ def test_every_token_is_packed_once(spark):
 
 def test_empty_table(spark):
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_equal_rows_spread_over_groups(spark):
+    got = packing.pack(docs(spark, [(None, "a b c d e")] * 4000), capacity=100, bins=4).collect()
+    assert len(got) == 4000
+    groups = [r.bin_id >> 24 for r in got]
+    assert len(set(groups)) == 50 and max(groups.count(g) for g in set(groups)) < 200

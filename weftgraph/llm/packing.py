@@ -12,8 +12,8 @@ group and of what each node leaves, are the incumbents. The search of a group ha
 steps (the problem is NP-hard); when either is spent the search ends and the incumbent stands, so every piece is always packed.
 
 Edge cases: a document without tokens (null, empty, blank) is returned without a bin; equal lengths
-are interchangeable and taken in order of doc_id, null first; repeated rows are packed each; an
-empty table gives an empty result.
+are interchangeable and taken in order of doc_id, null first; repeated rows are packed each and spread over
+all groups, however many they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import write_table
 from .mixing import tokens_of
 
 CAPACITY = 2048
@@ -177,14 +178,15 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES, steps: i
 def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = BINS, nodes: int = NODES) -> DataFrame:
     """(bin_id, doc_id, piece, bin_offset, n_tokens): one row for each piece of each row of docs;
     bin_id is null and n_tokens 0 for a document without tokens."""
-    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens_of(F.col("text")).alias("n"))
+    # texts are read once; the row number of what was written is the same whenever a task reads it again
+    sized = write_table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens_of(F.col("text")).alias("n")), "packing-sizes")
     groups = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // (capacity * bins)))
     # packing costs time, not bytes: a number of tasks that is given isn't merged for small size
     # and there are several a core, as the time of a group varies
     tasks = min(groups, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))))
+    pieces = sized.withColumn("row", F.monotonically_increasing_id()).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int"))
-    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "piece"), F.lit(groups))).repartitionById(tasks, F.expr(f"cast(g % {tasks} as int)")).sortWithinPartitions("g", "size", "doc_id", "piece").select("g", "doc_id", "piece", "size")
+    placed = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups))).repartitionById(tasks, F.expr(f"cast(g % {tasks} as int)")).sortWithinPartitions("g", "size", "doc_id", "piece").select("g", "doc_id", "piece", "size")
 
     def solve(group: int, items: list[tuple]) -> Iterator[tuple]:
         queues: dict[int, deque] = {}
