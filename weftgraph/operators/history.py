@@ -60,9 +60,9 @@ def diff(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_e
     kind = F.when(F.col("old_id").isNull(), "added_node").when(F.col("new_id").isNull(), "removed_node").when(F.col("old_body") != F.col("new_body"), "changed_node")
     # a changed node gives its own row and one for its source, from one pass over the join
     rows = both.withColumn("kind", kind).where("kind is not null").select(F.inline(F.array(F.struct("kind", F.coalesce("new_id", "old_id").alias("key")), F.struct(F.lit("changed_source").alias("kind"), F.nullif(F.coalesce("new_item", "old_item"), F.lit("")).alias("key"))))).where("key is not null").distinct()
-    a, b = (e.select(X.edge_key("context").alias("key")).distinct() for e in (old_edges, new_edges))
-    edge = a.withColumnRenamed("key", "old").join(b.withColumnRenamed("key", "new"), F.col("old") == F.col("new"), "full_outer").where("old is null or new is null")
-    return rows.unionByName(edge.select(F.when(F.col("old").isNull(), "added_edge").otherwise("removed_edge").alias("kind"), F.coalesce("new", "old").alias("key")))
+    keys = [e.select(X.edge_key("context").alias("key"), F.lit(side).alias("side")) for side, e in ((1, old_edges), (2, new_edges))]
+    edge = keys[0].unionByName(keys[1]).groupBy("key").agg(F.min("side").alias("first"), F.max("side").alias("last")).where("first = last")
+    return rows.unionByName(edge.select(F.when(F.col("last") == 2, "added_edge").otherwise("removed_edge").alias("kind"), "key"))
 
 
 SUMMARY = {"added_node": "added_node_count", "removed_node": "removed_node_count", "changed_node": "changed_node_count", "added_edge": "added_edge_count", "removed_edge": "removed_edge_count", "changed_source": "changed_source_count"}

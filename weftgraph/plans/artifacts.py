@@ -74,7 +74,7 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     node = F.concat(F.lit('    <node id="'), x("id"), F.lit('">'), data("label", "label"), data("type", "type"), F.lit("</node>"))
     edge = F.concat(F.lit('    <edge id="e'), F.col("index").cast("string"), F.lit('" source="'), x("source"), F.lit('" target="'), x("target"), F.lit('">'), data("relation", "relation"), data("confidence", "confidence"), F.lit("</edge>"))
-    return _lines(nodes, node, numbered(edges, "ord"), edge)
+    return _lines(nodes, node, numbered(edges.select("ord", "source", "target", "relation", "confidence"), "ord"), edge)
 
 
 def _text(head: list[str], lines: DataFrame, tail: list[str] = []) -> str:  # noqa: B006
