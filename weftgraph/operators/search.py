@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.storage import cut
-from .build import dedupe_edges
+from ..plans.storage import cut, discard, stored
 
 DEPTH = 2
 MAX_SEEDS = 3
@@ -56,8 +55,10 @@ def k_hop(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = DEP
         into = edges.join(frontier.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
         seen = cut(seen.unionByName(out.union(into).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))))
     inner = seen.where(F.col("hop") < depth).select("id")
-    touched = edges.join(inner.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(edges.join(inner.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns))
-    return nodes.join(seen, "id"), dedupe_edges(touched)
+    sources, targets = (inner.withColumnRenamed("id", end) for end in ("source", "target"))
+    # each edge once: those that leave an inner node, then those that only lead to one
+    touched = edges.join(sources, "source", "left_semi").unionByName(edges.join(targets, "target", "left_semi").join(sources, "source", "left_anti"))
+    return nodes.join(seen, "id"), touched.select(*edges.columns)
 
 
 def query_graph(nodes: DataFrame, edges: DataFrame, query: str, depth: int = DEPTH, max_seeds: int = MAX_SEEDS) -> tuple[DataFrame, DataFrame]:
@@ -86,24 +87,44 @@ def community_nodes(nodes: DataFrame, community: int) -> DataFrame:
     return nodes.where(F.col("community") == community)
 
 
-def distances(edges: DataFrame, start: DataFrame, target: str | None = None) -> DataFrame:
-    """(id, cost, parent, edge) of the cheapest ways from start(id): rounds of relaxation over
-    the nodes that changed. Stops early once nothing open is cheaper than target."""
-    both = edges.select(F.inline(F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("to"), X.edge_weight(F.col("confidence_score")).alias("w"), "ord", "source", "target", "relation") for a, b in (("source", "target"), ("target", "source"))])))
-    both = cut(both.where("id <> to"))
-    none = F.lit(None)
-    edge_type = "struct<ord:struct<epoch:int,item:bigint,pos:bigint,sub:int>,source:string,target:string,relation:string>"
-    best = cut(start.select("id", F.lit(0.0).alias("cost"), none.cast("string").alias("parent"), none.cast(edge_type).alias("edge"), F.lit(True).alias("open")))
+def _both(edges: DataFrame, *more: str) -> DataFrame:
+    """(id, to, w, ...) of both directions of edges that are no loops."""
+    ways = [F.struct(F.col(a).alias("id"), F.col(b).alias("to"), X.edge_weight(F.col("confidence_score")).alias("w"), *more) for a, b in (("source", "target"), ("target", "source"))]
+    return edges.where("source <> target").select(F.inline(F.array(*ways)))
+
+
+def costs(edges: DataFrame, start: DataFrame, target: str | None = None) -> DataFrame:
+    """(id, cost, round) of the cheapest ways from start(id), and the round that found them: relaxation over
+    the nodes that changed, ended early once nothing open is cheaper than target. Only ids and numbers go
+    through the rounds, and a round's table is deleted when the next is written."""
+    both = stored(_both(edges), "ways")
+    best = stored(start.select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("round"), F.lit(True).alias("open")).distinct(), "costs")
+    step = 0
     while True:
-        reach = best.where("open").select("id", "cost").join(both, "id").select(F.col("to").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("id").alias("parent"), F.struct("ord", "source", "target", "relation").alias("edge"))
-        tried = best.withColumn("open", F.lit(False)).unionByName(reach.withColumn("open", F.lit(True)))
-        # at equal cost what was there stays, then the edge that came first wins
-        best = cut(tried.groupBy("id").agg(F.min_by(F.struct("cost", "parent", "edge", "open"), F.struct("cost", "open", "edge.ord")).alias("p")).select("id", "p.*"))
         alive = best.where("open")
         if target is not None:
             alive = alive.crossJoin(F.broadcast(best.agg(F.min(F.when(F.col("id") == target, F.col("cost"))).alias("_bound")))).where("_bound is null or cost < _bound")  # one row
         if alive.isEmpty():
-            return best.drop("open")
+            discard(both)
+            return best.select("id", "cost", "round")
+        step += 1
+        none = F.lit(None)
+        reach = best.where("open").select("id", "cost").join(both, "id").select(F.col("to").alias("id"), none.cast("double").alias("old"), none.cast("int").alias("round"), (F.col("cost") + F.col("w")).alias("new"))
+        tried = best.select("id", F.col("cost").alias("old"), "round", none.cast("double").alias("new")).unionByName(reach).groupBy("id").agg(F.min("old").alias("old"), F.min("round").alias("round"), F.min("new").alias("new"))
+        better = F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull())
+        after = stored(tried.select("id", F.when(better, F.col("new")).otherwise(F.col("old")).alias("cost"), F.when(better, F.lit(step)).otherwise(F.col("round")).alias("round"), better.alias("open")), "costs")
+        discard(best)
+        best = after
+
+
+def distances(edges: DataFrame, start: DataFrame, target: str | None = None) -> DataFrame:
+    """(id, cost, parent, edge) of the cheapest ways from start(id); see costs. Of several last edges the
+    one that was met in the earliest round counts, then the one that came first."""
+    best = costs(edges, start, target)
+    ends = best.select(F.col("id").alias("to"), F.col("cost").alias("_cost"), F.col("round").alias("_round"))
+    last = _both(edges, "ord", "source", "target", "relation").join(best, "id").join(ends, "to").where("cost + w = _cost and round + 1 = _round")
+    way = last.groupBy("to").agg(F.min_by(F.struct(F.col("id").alias("parent"), F.struct("ord", "source", "target", "relation").alias("edge")), "ord").alias("p"))
+    return best.select("id", "cost").join(way.select(F.col("to").alias("id"), "p.*"), "id", "left")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source_query: str, target_query: str) -> tuple[list[str], list[dict], float] | None:
