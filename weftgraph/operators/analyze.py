@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..plans.storage import cut, numbered
+from ..plans.storage import discard, numbered, stored
 from ..schema import CONFIDENCE, SIDE_TYPES
 
 TOP_N = 10
@@ -73,25 +73,40 @@ def surprising_connections(nodes: DataFrame, edges: DataFrame, top_n: int = SURP
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): root is the smallest id of the component. Labels spread over edges and jump to
-    the label of their label, so rounds grow with the logarithm of the diameter."""
-    links = cut(adjacency(edges).where("id <> neighbour").distinct())
-    label = cut(links.groupBy("id").agg(F.min("neighbour").alias("near")).select("id", F.least("id", "near").alias("root")))
-    while True:
-        spread = links.join(label.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg(F.min("root").alias("near"))
-        hooked = label.join(spread, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("via"))
-        tops = label.select(F.col("id").alias("via"), F.col("root").alias("top"))
-        moved = cut(hooked.join(tops, "via").select("id", "old", F.least("via", "top").alias("root")))
-        label = moved.select("id", "root")
-        if moved.where("root <> old").isEmpty():
-            break
-    return nodes.select("id").join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    """(id, root): root is the smallest id of the component. Each round hooks every vertex to its smallest
+    neighbour, follows these to their ends and goes on with the graph of the ends, which has at most half of
+    the vertices; tables that a round replaces are deleted."""
+    links = stored(edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), "links")
+    found = None
+    while not links.isEmpty():
+        near = links.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near"))))).groupBy("id").agg(F.min("near").alias("near"))
+        label = stored(near.select("id", F.least("id", "near").alias("root")), "labels")
+        while True:
+            tops = label.select(F.col("id").alias("root"), F.col("root").alias("top"))
+            moved = stored(label.join(tops, "root").select("id", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "labels")
+            discard(label)
+            label = moved
+            if moved.where("moved").isEmpty():
+                break
+        ends = links.join(label.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+        rest = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(links)
+        links = rest
+        if found is None:
+            found = label
+        else:
+            joined = stored(found.join(label.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")), "labels")
+            discard(found, label)
+            found = joined
+    if found is None:
+        return nodes.select("id", F.col("id").alias("root"))
+    return nodes.select("id").join(found.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def community_members(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members(id, community), summary(community, label, size)), numbered from the largest. The
     label is that of the first member that is no tag or resource."""
-    root = cut(components(nodes, edges))
+    root = stored(components(nodes, edges), "roots")
     main = ~F.coalesce("type", F.lit("")).isin(*SIDE_TYPES)
     label = F.min_by(F.when(main, F.col("label")), F.when(main, F.col("ord")))
     found = nodes.select("ord", "id", "label", "type").join(root, "id").groupBy("root").agg(F.count("*").alias("size"), F.min("ord").alias("first"), F.coalesce(label, F.lit("Community")).alias("label"))
@@ -121,7 +136,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
     """(id, rank) after a fixed number of steps. Parallel edges count each; the mass of nodes
     without outgoing edges is lost."""
     # parallel edges of a pair are one row with a weight
-    pairs = cut(edges.groupBy("source", "target").agg(F.count("*").alias("k")))
+    pairs = stored(edges.groupBy("source", "target").agg(F.count("*").alias("k")), "pairs")
     n, m = nodes.count(), pairs.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
@@ -146,17 +161,31 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
             yield pa.RecordBatch.from_arrays([ids, pa.array(rank)], names=["id", "rank"])
 
         return rows.coalesce(1).mapInArrow(run, "id string, rank double")
-    ids = cut(nodes.select("id"))
+    ids = nodes.select("id")
     out = pairs.groupBy("source").agg(F.sum("k").alias("out"))
-    share = cut(pairs.join(out, "source").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target", (F.col("k") / F.col("out")).alias("share")).repartition("source"))
-    rank = ids.withColumn("rank", F.lit(1.0 / n))
-    for step in range(iterations):
-        sent = share.join(rank.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        # the base row of each node takes part in the same aggregation, so no outer join is needed
-        rank = ids.withColumn("rank", F.lit((1 - damping) / n)).unionByName(sent.join(ids, "id", "left_semi")).groupBy("id").agg(F.sum("rank").alias("rank"))
-        if step % 5 == 4:
-            rank = cut(rank)
-    return rank
+    live = pairs.join(out, "source").select("source", "target", (F.col("k") / F.col("out") * damping).alias("share"))
+    live = stored(live.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi"), "live")
+    discard(pairs)
+    # fixed: what a node gets from sources that move no more; moves: whether others send to it still. An edge goes when its
+    # source has settled and what it sends is fixed, so a graph without cycles takes few full rounds
+    state = stored(ids.select("id", F.lit((1 - damping) / n).alias("fixed"), F.lit(1.0 / n).alias("rank"), F.lit(True).alias("moves")), "ranks")
+    moving = n
+    for _ in range(iterations):
+        sent = live.join(state.select(F.col("id").alias("source"), "rank", "moves"), "source").select(F.col("target").alias("id"), (F.col("rank") * F.col("share")).alias("x"), "moves")
+        # the fixed part of each node takes part in the same aggregation, so no outer join is needed
+        parts = state.select("id", F.col("fixed").alias("x"), F.lit(False).alias("moves")).unionByName(sent)
+        after = stored(parts.groupBy("id").agg(F.sum(F.when(F.col("moves"), 0.0).otherwise(F.col("x"))).alias("fixed"), F.sum("x").alias("rank"), F.max("moves").alias("moves")), "ranks")
+        left = state.where("moves").count()
+        if left < moving:
+            rest = stored(live.join(state.where("moves").select(F.col("id").alias("source")), "source", "left_semi"), "live")
+            discard(live)
+            live, moving = rest, left
+        discard(state)
+        state = after
+        if not left:
+            break
+    discard(live)
+    return state.select("id", "rank")
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, limit: int = BETWEENNESS_NODES) -> DataFrame | None:
