@@ -74,6 +74,6 @@ def test_numbers_need_one_shuffle(spark):
 
 
 def test_scripts_are_spread_over_tasks(spark, tmp_path):
-    spark.range(20000, numPartitions=1).select(F.md5(F.col("id").cast("binary")).alias("id")).write.parquet(f"{tmp_path}/t")
+    spark.range(20000, numPartitions=1).select(F.md5(F.col("id").cast("string")).alias("id")).write.parquet(f"{tmp_path}/t")
     items = spark.read.parquet(f"{tmp_path}/t").coalesce(1).withColumn("text", F.col("id"))
     assert extract.spread(items).rdd.getNumPartitions() >= 4
