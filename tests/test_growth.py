@@ -77,3 +77,23 @@ def test_scripts_are_spread_over_tasks(spark, tmp_path):
     spark.range(20000, numPartitions=1).select(F.md5(F.col("id").cast("string")).alias("id")).write.parquet(f"{tmp_path}/t")
     items = spark.read.parquet(f"{tmp_path}/t").coalesce(1).withColumn("text", F.col("id"))
     assert extract.spread(items).rdd.getNumPartitions() >= 4
+
+
+def test_components_by_stars_and_hooks(spark):
+    """Small chunks and tasks, so that all steps are taken; each way gives the smallest id."""
+    nodes, path = chain(spark, 40)
+    assert {r.root for r in analyze.components(nodes, path, chunk=3, one_task=1).collect()} == {"n001"}
+    pairs = [(f"n{i:03}", f"n{i * 7 % 41:03}") for i in range(1, 41) if i % 5] + [("n001", "n001")]
+    some = spark.createDataFrame(pairs, "source string, target string")
+    got = {r.id: r.root for r in analyze.components(nodes, some, chunk=2, one_task=1).collect()}
+    want = {f"n{i:03}": f"n{i:03}" for i in range(1, 41)}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+
+
+def test_components_shuffle_stars_not_edges(spark):
+    """Many edges of few vertices leave a task as few rows."""
+    links = spark.range(50000, numPartitions=1).select((F.col("id") % 100).alias("a"), (F.col("id") % 100 + 1).alias("b"))
+    assert analyze._stars(links, 1000).count() <= 51 * 101

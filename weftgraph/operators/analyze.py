@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,6 +22,9 @@ DAMPING = 0.85
 ITERATIONS = 30
 #: PageRank of up to this many edges runs in one task (16 bytes an edge); more are a loop of joins.
 ONE_TASK_EDGES = 2_000_000
+#: Links whose components a task finds at once, and those that one task joins at the end (16 bytes each).
+CHUNK = 1 << 20
+ONE_TASK_LINKS = 2_000_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -72,35 +75,110 @@ def surprising_connections(nodes: DataFrame, edges: DataFrame, top_n: int = SURP
     return ranked.select("rank", F.col("source_label").alias("source"), F.col("target_label").alias("target"), "relation", "confidence", reason.alias("reason"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): root is the smallest id of the component. Each round hooks every vertex to its smallest
-    neighbour, follows these to their ends and goes on with the graph of the ends, which has at most half of
-    the vertices; tables that a round replaces are deleted."""
-    links = stored(edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), "links")
-    found = None
-    while not links.isEmpty():
-        near = links.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near"))))).groupBy("id").agg(F.min("near").alias("near"))
-        label = stored(near.select("id", F.least("id", "near").alias("root")), "labels")
-        while True:
-            tops = label.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            moved = stored(label.join(tops, "root").select("id", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "labels")
-            discard(label)
-            label = moved
-            if moved.where("moved").isEmpty():
-                break
-        ends = links.join(label.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
-        rest = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-        discard(links)
-        links = rest
-        if found is None:
-            found = label
-        else:
-            joined = stored(found.join(label.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")), "labels")
-            discard(found, label)
-            found = joined
-    if found is None:
-        return nodes.select("id", F.col("id").alias("root"))
-    return nodes.select("id").join(found.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices of the links a to b, the smallest vertex of the component of each)."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, w, top = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(u):
+        np.minimum.at(top, np.maximum(u, w), np.minimum(u, w))
+        while not np.array_equal(up := top[top], top):
+            top = up
+        u, w = top[u], top[w]
+        apart = u != w
+        u, w = u[apart], w[apart]
+    return ids, ids[top]
+
+
+def _stars(links: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(id, root) of the components of each `chunk` rows of links(a, b); None takes a partition as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _joined(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))], names=["id", "root"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += batch.num_rows
+            if chunk and n >= chunk:
+                yield star()
+                held, n = [], 0
+        if n:
+            yield star()
+
+    return links.mapInArrow(run, "id bigint, root bigint")
+
+
+def joined(links: DataFrame, chunk: int = CHUNK, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id, root) of the vertices of links(a, b), numbers: root is one vertex of the component. Chunks of links
+    become stars first. A vertex of several stars joins their roots, and these are all that is left to join."""
+    stars = _stars(links, chunk).groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots"))  # at most one root a chunk
+    met = stored(stars, "stars")
+    more = F.slice("roots", F.lit(2), F.size("roots"))
+    rest = stored(met.where("size(roots) > 1").select(F.col("roots")[0].alias("a"), F.explode(more).alias("b")).distinct(), "links")
+    n = rest.count()
+    label = met.select("id", F.col("roots")[0].alias("root"))
+    if n <= one_task:
+        tops = stored(_stars(rest.coalesce(1)), "tops")
+    else:  # hooking halves the vertices where stars hardly help
+        tops = joined(rest, chunk, one_task) if 2 * n <= met.count() else _hooked(rest, chunk, one_task)
+    found = stored(_renamed(label, tops), "labels")
+    discard(met, rest, tops)
+    return found
+
+
+def _renamed(label: DataFrame, tops: DataFrame) -> DataFrame:
+    """label(id, root) with the root that tops gives to a root."""
+    return label.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+
+def _hooked(links: DataFrame, chunk: int, one_task: int) -> DataFrame:
+    """joined(), where every vertex is hooked to its smallest neighbour, these are followed to their ends, and the
+    graph of the ends, which has at most half of the vertices, is joined."""
+    near = links.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near"))))).groupBy("id").agg(F.min("near").alias("near"))
+    label = stored(near.select("id", F.least("id", "near").alias("root")), "labels")
+    while True:
+        tops = label.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        moved = stored(label.join(tops, "root").select("id", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "labels")
+        discard(label)
+        label = moved
+        if moved.where("moved").isEmpty():
+            break
+    label_ = label.select("id", "root")
+    ends = links.join(label_.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(label_.select(F.col("id").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+    rest = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    tops = joined(rest, chunk, one_task)
+    found = stored(_renamed(label_, tops), "labels")
+    discard(label, rest, tops)
+    return found
+
+
+def key_of(nodes: DataFrame) -> Callable[[Column], Column]:
+    """A number for ids, as an expression: a hash under which no two ids of nodes are equal."""
+    salt = 0
+    while True:
+        both = nodes.select(F.xxhash64(F.lit(salt), "id").alias("k"), F.xxhash64("id", F.lit(salt)).alias("other"))
+        if both.groupBy("k").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").isEmpty():
+            return lambda c: F.xxhash64(F.lit(salt), c)
+        salt += 1
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest id of each root in a batch."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).group_by("root").aggregate([("id", "min")])
+        yield from t.select(["root", "id_min"]).rename_columns(["root", "id"]).to_batches()
+
+
+def components(nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id, root): root is the smallest id of the component. Edges go in as pairs of hashes of their ends, which
+    are nodes, and leave their tasks as stars."""
+    key = key_of(nodes)
+    found = joined(edges.where("source <> target").select(key(F.col("source")).alias("a"), key(F.col("target")).alias("b")), chunk, one_task)
+    members = stored(nodes.select("id", key(F.col("id")).alias("k")).join(found.withColumnRenamed("id", "k"), "k", "left").select("id", F.coalesce("root", "k").alias("root")), "members")
+    discard(found)
+    names = members.mapInArrow(_smallest, "root bigint, id string").groupBy("root").agg(F.min("id").alias("name"))
+    return members.join(names, "root").select("id", F.col("name").alias("root"))
 
 
 def community_members(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
