@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import queries as Q
 from weftgraph.operators import analyze, build, extract, search
-from weftgraph.plans.storage import numbered, shared_folder
+from weftgraph.plans.storage import numbered, shared_folder, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +97,21 @@ def test_components_shuffle_stars_not_edges(spark):
     """Many edges of few vertices leave a task as few rows."""
     links = spark.range(50000, numPartitions=1).select((F.col("id") % 100).alias("a"), (F.col("id") % 100 + 1).alias("b"))
     assert analyze._stars(links, 1000).count() <= 51 * 101
+
+
+def test_stored_tables_are_read_in_shares(spark):
+    """A table that one task wrote is read by several, and the session keeps its values."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    one = stored(spark.range(1_500_000, numPartitions=1).select(F.md5(F.col("id").cast("string")).alias("id")), "one")
+    sizes = stored(one, "many").groupBy(F.input_file_name()).count().collect()
+    assert len([r for r in sizes if r["count"]]) >= 3
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
+def test_validation_names_lost_and_missing_ends(spark):
+    nodes = spark.createDataFrame([("a", "A"), ("b", "")], "id string, label string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "x"), ("x", "a"), ("a", "x"), (None, "a")], "source string, target string")
+    want = ["Edge source 'null' does not match any node.", "Edge source 'x' does not match any node."] + ["Edge target 'x' does not match any node."] * 2 + ["Node b missing label."]
+    assert sorted(r.message for r in build.validate(nodes, edges).collect()) == want
+    plan = build.validate(nodes, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # edges are held against few lost ends, not shuffled

@@ -35,7 +35,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ord, id, label, type, degree) of every node."""
     count = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return nodes.select("ord", "id", "label", "type").join(count, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
+    return stored(nodes.select("ord", "id", "label", "type").join(count, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint")), "degrees")
 
 
 def _main(df: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from ..schema import EDGE_COLUMNS, NODE_COLUMNS
 BEHIND = 1 << 20
 #: Rows of repeated keys are told from others by a broadcast of hashes, of at most this many.
 FEW_KEYS = 2_000_000
+#: Edges whose ends are made unique at once.
+CHUNK = 1 << 20
 MERGEABLE = ("class", "enum", "function", "interface", "method", "symbol", "type")
 
 
@@ -80,11 +82,30 @@ def finished_nodes(nodes: DataFrame) -> DataFrame:
     return complete(dedupe_nodes(nodes).withColumn("normalized_label", X.normalize_label(F.col("label"))).withColumn("label", X.sanitize_label(F.col("label"))), NODE_COLUMNS)
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of edges, each once in CHUNK edges, whatever the size of a partition."""
+    held: list[pa.Array] = []
+    n = 0
+    for batch in batches:
+        held += [batch.column(0), batch.column(1)]
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.chunked_array(held).unique()], names=["_id"])
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.chunked_array(held).unique()], names=["_id"])
+
+
+def lost_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(_id) of the ends of edges that are no nodes, each once."""
+    ends = edges.select("source", "target").mapInArrow(_ends, "_id string")
+    return stored(ends.join(nodes.select(F.col("id").alias("_id")), "_id", "left_anti").distinct(), "lost")
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes. The ends that are none, few as a rule, are found first, from ids
     alone; whole edges are then held against these."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("_id")).distinct()
-    lost = stored(ends.join(nodes.select(F.col("id").alias("_id")), "_id", "left_anti"), "lost")
+    lost = lost_ends(edges, nodes)
     known = edges.where("source is not null and target is not null")
     if lost.isEmpty():
         return known
@@ -151,13 +172,14 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(message) for each node without id or label and each edge end that is no node."""
-    ids = nodes.select(F.col("id").alias("_id"))
+    """(message) for each node without id or label and each edge end that is no node. Edges are held against
+    the ends that are none, few as a rule."""
+    lost = lost_ends(edges, nodes)
     no_id = nodes.where("id is null or id = ''").select(F.lit("Node missing id.").alias("message"))
     no_label = nodes.where("label is null or label = ''").select(F.format_string("Node %s missing label.", F.coalesce("id", F.lit(""))).alias("message"))
     out = no_id.unionByName(no_label)
     for end in ("source", "target"):
-        dangling = edges.join(ids, edges[end] == F.col("_id"), "left_anti")
+        dangling = edges.join(lost, edges[end].eqNullSafe(F.col("_id")), "left_semi")
         out = out.unionByName(dangling.select(F.format_string(f"Edge {end} '%s' does not match any node.", end).alias("message")))
     return out
 

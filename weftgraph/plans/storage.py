@@ -5,12 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a file and of a shuffle that a task takes when a table is written; row groups, which no task divides, are
+#: about as large as a file's share.
+SPLIT = 8 << 20
+SHARE = 4 << 20
+MOST_SHARES = 4000
+#: Bytes that a table may have to be broadcast unasked: a column of ids takes far more memory than its file.
+SMALL = 1 << 20
+#: Spark takes sizes of this order for tables of unknown size.
+UNKNOWN = 1 << 60
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other values, which it gets back at the end."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_folder(df.sparkSession)
@@ -35,15 +60,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet on shared storage and read again: computed once, and still there when
-    an executor is lost. The shuffles that made it are deleted at once."""
+    an executor is lost. The shuffles that made it are deleted at once. Tasks take a fixed share of files and
+    shuffles, so that there are more of them, not larger ones, when the input grows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < UNKNOWN)
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // SHARE, MOST_SHARES))
+    values = {_CLEANUP: "true", "spark.sql.files.maxPartitionBytes": SPLIT, "spark.sql.adaptive.advisoryPartitionSizeInBytes": SHARE, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": shares}
+    if not spark.conf.get(_BROADCAST).startswith("-"):
+        values[_BROADCAST] = SMALL
+    with _set(spark, {k: str(v) for k, v in values.items()}):
+        df.write.option("parquet.block.size", str(2 * SPLIT)).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored_at = path
     return found
