@@ -1,7 +1,9 @@
 """What grows with the input: shuffles of whole rows, tables that loops leave behind, tasks that parse."""
 
 import os
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftgraph import queries as Q
@@ -115,3 +117,39 @@ def test_validation_names_lost_and_missing_ends(spark):
     assert sorted(r.message for r in build.validate(nodes, edges).collect()) == want
     plan = build.validate(nodes, edges)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan  # edges are held against few lost ends, not shuffled
+
+
+def test_cut_vertices_by_contraction(spark):
+    """Small chunks and groups, so that all steps are taken: no component has to fit in a task."""
+    rng = random.Random(7)
+    for n, m in ((30, 34), (60, 75), (25, 18), (40, 120)):
+        ids = [rng.getrandbits(64) - 2**63 for _ in range(n)]
+        pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(m)]
+        want = set(analyze.articulation_points(ids, [p for p in pairs if p[0] != p[1]]))
+        links = spark.createDataFrame(pairs, "a bigint, b bigint")
+        assert {r.id for r in analyze.cut_vertices(links, chunk=7, one_task=5).collect()} == want
+        assert {r.id for r in analyze.cut_vertices(links).collect()} == want
+
+
+def test_contraction_keeps_cut_vertices():
+    """One group after another, with any homes: what is left and what is found give the cut vertices of all."""
+    none = np.zeros(0, np.int64)
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(3, 30))
+        ids = np.unique(rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64))
+        u, w = rng.choice(ids, (2, int(rng.integers(1, 2 * n))))
+        want = set(analyze.articulation_points(ids.tolist(), [(a, b) for a, b in zip(u.tolist(), w.tolist()) if a != b]))
+        parts, found, rest = int(rng.integers(1, 5)), set(), [[], [], []]
+        home = analyze._home(ids, parts)
+        where = dict(zip(ids.tolist(), home.tolist()))
+        at, far = np.array([where[x] for x in u.tolist()]), np.array([where[x] for x in w.tolist()])
+        for p in range(parts):
+            cut, a, b, tails = analyze._contracted(u[at == p], w[at == p], none, np.unique(w[(far == p) & (at != p)]), lambda x, p=p: analyze._home(x, parts) == p)
+            found |= set(cut.tolist())
+            for k, part in enumerate((a, b, tails)):
+                rest[k].append(part)
+        a, b, tails = map(np.concatenate, rest)
+        last = analyze._contracted(a, b, tails, none, lambda x: np.ones(len(x), bool))
+        assert not len(last[1]) and not len(last[3])
+        assert found | set(last[0].tolist()) == want, seed
