@@ -70,10 +70,13 @@ def query_graph(nodes: DataFrame, edges: DataFrame, query: str, depth: int = DEP
 def neighbors(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     """(id, label, type, relation, direction, ...) of each edge at the best node for query; a loop is twice
     outgoing."""
-    at = get_node(nodes, query).select(F.col("id").alias("_at"))
-    out = edges.join(F.broadcast(at), F.col("source") == F.col("_at")).withColumn("direction", F.lit("outgoing")).withColumn("_to", F.col("target"))  # one row
-    into = edges.join(F.broadcast(at), F.col("target") == F.col("_at")).withColumn("direction", F.when(F.col("source") == F.col("target"), "outgoing").otherwise("incoming")).withColumn("_to", F.col("source"))
-    met = out.unionByName(into).drop("_at").withColumnRenamed("ord", "edge_ord")
+    best = get_node(nodes, query).select("id").first()
+    at = F.lit(best.id if best else None)
+    out = F.when(F.col("source") == at, F.struct(F.lit("outgoing").alias("direction"), F.col("target").alias("_to")))
+    into = F.when(F.col("target") == at, F.struct(F.when(F.col("source") == at, "outgoing").otherwise("incoming").alias("direction"), F.col("source").alias("_to")))
+    # the edges are read once, and written as their number tells how to join them
+    both = edges.where((F.col("source") == at) | (F.col("target") == at)).withColumn("_way", F.explode(F.array(out, into))).where("_way is not null")
+    met = stored(both.withColumnRenamed("ord", "edge_ord").select("*", "_way.*").drop("_way"), "met")
     return met.join(nodes.select(F.col("id").alias("_to"), "label", "type"), "_to").withColumnRenamed("_to", "id")
 
 
