@@ -20,6 +20,8 @@ BEHIND = 1 << 20
 FEW_KEYS = 2_000_000
 #: Edges whose ends are made unique at once.
 CHUNK = 1 << 20
+#: Relations of new edges that old ones are asked for by name.
+FEW_RELATIONS = 100
 MERGEABLE = ("class", "enum", "function", "interface", "method", "symbol", "type")
 
 
@@ -98,13 +100,19 @@ def _first_edges(edges: DataFrame) -> DataFrame:
     return first.select("source", "target", "relation", "p.*").select(*edges.columns)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, which is stored, to be broadcast if it has few rows, whatever size is taken for it."""
+    return F.broadcast(df) if df.count() <= FEW_KEYS else df
+
+
 def _item() -> Column:
     return F.coalesce("source_item_id", F.lit(""))
 
 
-def _added(old: DataFrame, new: DataFrame, merge: Callable[[DataFrame], DataFrame], *key: Column | str) -> DataFrame | None:
+def _added(old: DataFrame, new: DataFrame, merge: Callable[[DataFrame], DataFrame], *key: Column | str, part: str | None = None) -> DataFrame | None:
     """merge() of old, in which no key is repeated, and new rows: only keys of new rows can be, so the others are held
-    against these, and old is not read before the result is. None if new rows are too many for that."""
+    against these, and old is not read before the result is. None if new rows are too many for that. part: a column of the
+    key with few values; old rows with other values than new ones have are not hashed."""
     new = stored(new, "new")
     keys = stored(new.select(F.xxhash64(*key).alias("_hash")).distinct(), "keys")
     n = keys.count()
@@ -112,32 +120,38 @@ def _added(old: DataFrame, new: DataFrame, merge: Callable[[DataFrame], DataFram
         return None
     if not n:
         return old
-    hashed, keys = old.withColumn("_hash", F.xxhash64(*key)), F.broadcast(keys)
-    kept, met = (hashed.join(keys, "_hash", how).select(*old.columns) for how in ("left_anti", "left_semi"))
+    keys, hash_, may = F.broadcast(keys), F.xxhash64(*key), F.lit(True)
+    values = [r[0] for r in new.select(part).distinct().limit(FEW_RELATIONS + 1).collect()] if part else [None]
+    if None not in values and len(values) <= FEW_RELATIONS:
+        may = F.col(part).isin(*values)
+        hash_ = F.when(may, hash_)
+    kept, met = (x.withColumn("_hash", hash_).join(keys, "_hash", how).select(*old.columns) for x, how in ((old, "left_anti"), (old.where(may), "left_semi")))
     return kept.unionByName(merge(met.unionByName(new)).select(*old.columns))
 
 
 def add_edges(edges: DataFrame, new: DataFrame, sound: bool = False) -> DataFrame:
     """dedupe_edges() of both; sound: no key is repeated in edges."""
-    found = _added(edges, new, _first_edges, "source", "target", "relation", _item()) if sound else None
+    found = _added(edges, new, _first_edges, "source", "target", "relation", _item(), part="relation") if sound else None
     return dedupe_edges(edges.unionByName(new)) if found is None else found
 
 
-def dedupe_nodes(nodes: DataFrame) -> DataFrame:
-    """One row an id: the payload that came last at the place of the first."""
+def dedupe_nodes(nodes: DataFrame, written: bool = True) -> DataFrame:
+    """One row an id: the payload that came last at the place of the first. written: see build()."""
     rest = [c for c in nodes.columns if c not in ("ord", "id")]
     once, more = by_repetition(nodes, "id")
-    return once.select("ord", "id", *rest).unionByName(_last_nodes(more))
+    last = _last_nodes(more)
+    return once.select("ord", "id", *rest).unionByName(last if written else stored(last, "repeated_nodes"))
 
 
-def dedupe_edges(edges: DataFrame) -> DataFrame:
-    """The first edge of each source, target, relation and source item."""
+def dedupe_edges(edges: DataFrame, written: bool = True) -> DataFrame:
+    """The first edge of each source, target, relation and source item. written: see build()."""
     once, more = by_repetition(edges, "source", "target", "relation", _item())
-    return once.unionByName(_first_edges(more))
+    first = _first_edges(more)
+    return once.unionByName(first if written else stored(first, "repeated_edges"))
 
 
-def finished_nodes(nodes: DataFrame) -> DataFrame:
-    return complete(dedupe_nodes(nodes).withColumn("normalized_label", X.normalize_label(F.col("label"))).withColumn("label", X.sanitize_label(F.col("label"))), NODE_COLUMNS)
+def finished_nodes(nodes: DataFrame, written: bool = True) -> DataFrame:
+    return complete(dedupe_nodes(nodes, written).withColumn("normalized_label", X.normalize_label(F.col("label"))).withColumn("label", X.sanitize_label(F.col("label"))), NODE_COLUMNS)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +168,22 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.chunked_array(held).unique()], names=["_id"])
 
 
-def lost_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(_id) of the ends of edges that are no nodes, each once."""
+def lost_ends(edges: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
+    """(_id) of the ends of edges that are no nodes, each once. Ids are hashed, not sorted: a task has a share of them.
+    few: edges are few, so that their ends are found among the ids of nodes and these are not shuffled."""
     ends = edges.select("source", "target").mapInArrow(_ends, "_id string")
-    return stored(ends.join(nodes.select(F.col("id").alias("_id")), "_id", "left_anti").distinct(), "lost")
+    ids = nodes.select(F.col("id").alias("_id"))
+    if few:
+        ends = stored(ends.distinct(), "ends")
+        if ends.count() <= FEW_KEYS:
+            ids = ids.join(F.broadcast(ends), "_id", "left_semi")
+    return stored(ends.join(ids.hint("shuffle_hash"), "_id", "left_anti").distinct(), "lost")
 
 
-def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_endpoints(edges: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
     """Edges whose two ends are nodes. The ends that are none, few as a rule, are found first, from ids
     alone; whole edges are then held against these."""
-    return _without(edges, lost_ends(edges, nodes))
+    return _without(edges, lost_ends(edges, nodes, few))
 
 
 def _without(edges: DataFrame, lost: DataFrame) -> DataFrame:
@@ -171,6 +191,7 @@ def _without(edges: DataFrame, lost: DataFrame) -> DataFrame:
     known = edges.where("source is not null and target is not null")
     if lost.isEmpty():
         return known
+    lost = _few(lost)
     return known.join(lost, known.source == F.col("_id"), "left_anti").join(lost, known.target == F.col("_id"), "left_anti")
 
 
@@ -202,18 +223,22 @@ def inferred_references(edges: DataFrame, nodes: DataFrame, fix_extension_alias:
     )
 
 
-def build(nodes: DataFrame, edges: DataFrame, fix_extension_alias: bool = False) -> tuple[DataFrame, DataFrame]:
+def build(nodes: DataFrame, edges: DataFrame, fix_extension_alias: bool = False, written: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph from raw tables: labels cleaned, duplicates and dangling edges gone,
     references inferred right behind the link that gave them.
 
     Finished nodes and raw edges are written before they are held against each other, as several passes
-    read them. No whole edge is shuffled unless its key is repeated."""
-    nodes = stored(finished_nodes(nodes), "nodes")
-    edges = with_endpoints(stored(complete(edges, EDGE_COLUMNS), "edges"), nodes)
+    read them. No whole edge is shuffled unless its key is repeated. written=False is for raw tables that
+    are files under a few expressions: only what is made of repeated keys is written, and each pass over
+    the result reads the columns that it needs from the files, which costs less than all columns written once."""
+    nodes, edges = finished_nodes(nodes, written), complete(edges, EDGE_COLUMNS)
+    if written:
+        nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
+    edges = with_endpoints(edges, nodes)
     if nodes.where("href is not null").isEmpty():
-        return nodes, dedupe_edges(edges)
+        return nodes, dedupe_edges(edges, written)
     new = stored(inferred_references(edges, nodes, fix_extension_alias), "references")
-    return nodes, dedupe_edges(edges if new.isEmpty() else edges.unionByName(new))
+    return nodes, dedupe_edges(edges if new.isEmpty() else edges.unionByName(new), written)
 
 
 def is_inferred_reference() -> Column:
@@ -309,7 +334,7 @@ def merge_fragment(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | N
 def without_sources(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None, affected: DataFrame, sound: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """What is left when all that came from the sources affected(source_item_id) goes. sound: the graph comes from
     build(), so edges lose no other ends than the nodes that go."""
-    gone = affected.where("source_item_id <> ''").distinct()
+    gone = _few(stored(affected.where("source_item_id <> ''").distinct(), "gone"))
     removed = nodes.join(gone, "source_item_id", "left_semi").select(F.col("id").alias("_id"))
     nodes = nodes.join(gone, "source_item_id", "left_anti").select(*nodes.columns)
     edges = edges.join(gone, "source_item_id", "left_anti").select(*edges.columns)
@@ -323,7 +348,10 @@ def without_sources(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame |
 def update(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None, fragment: tuple[DataFrame, DataFrame], affected: DataFrame, fix_extension_alias: bool = False, sound: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The graph after new versions of some sources: fragment is a graph of its own, built from
     the upserted items alone with an ord that follows the old one's. sound: the graph comes from build()."""
-    nodes, edges, hyperedges = without_sources(nodes, edges, hyperedges, affected, sound)
-    nodes = override_nodes(nodes, fragment[0], sound)
-    edges = add_edges(edges, with_endpoints(fragment[1], nodes), sound)
+    old, edges, hyperedges = without_sources(nodes, edges, hyperedges, affected, sound)
+    nodes = override_nodes(old, fragment[0], sound)
+    ids = old.select("id").unionByName(fragment[0].select("id"))
+    edges = add_edges(edges, with_endpoints(fragment[1], ids, few=True), sound)
+    if sound and old.where("href is not null").isEmpty() and fragment[0].where("href is not null").isEmpty():
+        return nodes, edges.where(~is_inferred_reference()), hyperedges  # no payload that could win names a link
     return nodes, with_inferred_references(nodes, edges, fix_extension_alias, sound), hyperedges
