@@ -170,6 +170,21 @@ def test_a_key_that_all_rows_share_is_shuffled_twice_a_chunk():
     assert sorted(x for b in build._twice(iter(batches)) for x in b.column(0).to_pylist()) == [0, 1, 2, 3, 7, 7]
 
 
+def test_hashes_are_shuffled_in_runs():
+    """A chunk leaves its task as at most a row a range; equal numbers meet, those at both ends of the ranges too."""
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**63 - 1]
+    rows = np.concatenate([np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 50000), ends, ends[::2]]).astype(np.int64)
+    batches = list(build._runs(iter([pa.RecordBatch.from_arrays([pa.array(rows)], names=["_hash"])])))
+    assert sum(b.num_rows for b in batches) <= build.RANGES
+    parts = {}
+    for b in batches:
+        for place, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            parts.setdefault(place, []).append(run)
+    assert sorted(np.concatenate([np.frombuffer(x, np.int64) for runs in parts.values() for x in runs])) == sorted(rows)
+    apart = [build._repeated(iter([pa.RecordBatch.from_arrays([pa.array([p] * len(runs)), pa.array(runs, pa.binary())], names=["_range", "_run"])])) for p, runs in parts.items()]
+    assert sorted(x for some in apart for b in some for x in b.column(0).to_pylist()) == sorted(ends[::2])
+
+
 def test_update_of_a_built_graph_reads_edges_once(spark):
     """What a sound graph takes in is held against what is new; the result is that of the full check."""
     nodes, edges = Q.entities(spark, SF)

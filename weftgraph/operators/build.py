@@ -20,6 +20,8 @@ BEHIND = 1 << 20
 FEW_KEYS = 2_000_000
 #: Edges whose ends are made unique at once.
 CHUNK = 1 << 20
+#: Ranges of hashes that are shuffled together.
+RANGES = 4096
 #: Relations of new edges that old ones are asked for by name.
 FEW_RELATIONS = 100
 MERGEABLE = ("class", "enum", "function", "interface", "method", "symbol", "type")
@@ -43,8 +45,8 @@ def raw_tables(extracted: DataFrame, epoch: int = 0) -> tuple[DataFrame, DataFra
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The numbers that a partition has more than once, each once; 8 bytes a row meet in a task."""
-    parts = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
+    """The numbers that a partition's runs have more than once, each once; 8 bytes a row meet in a task."""
+    parts = [np.frombuffer(run, np.int64) for batch in batches for run in batch.column(1).to_pylist()]
     if parts:
         known, n = np.unique(np.concatenate(parts), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(known[n > 1])], names=["_hash"])
@@ -69,11 +71,23 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield few()
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_range, _run): the numbers of _twice() by range of their value, in one row for each range and CHUNK rows, as a row
+    for each number costs far more to shuffle. Hashes fill all ranges alike."""
+    starts = -(1 << 63) + np.arange(RANGES, dtype=np.int64) * ((1 << 63) // (RANGES // 2))
+    for batch in _twice(batches):
+        numbers = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))  # in order
+        at = np.append(np.searchsorted(numbers, starts), len(numbers)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), RANGES, [None, pa.py_buffer(at * np.int32(8)), pa.py_buffer(numbers)])
+        some = np.flatnonzero(np.diff(at))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), runs.take(pa.array(some))], names=["_range", "_run"])
+
+
 def by_repetition(df: DataFrame, *key: Column | str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key no other row has, all other rows). Only hashes of keys are shuffled: rows that share
     a hash but no key are among the others, where keys themselves are compared."""
     hashed = df.withColumn("_hash", F.xxhash64(*key))
-    often = stored(hashed.select("_hash").mapInArrow(_twice, "_hash bigint").repartition("_hash").mapInArrow(_repeated, "_hash bigint"), "repeated")
+    often = stored(hashed.select("_hash").mapInArrow(_runs, "_range int, _run binary").repartition("_range").mapInArrow(_repeated, "_hash bigint"), "repeated")
     n = often.count()
     if not n or n > FEW_KEYS:
         none = df.where("false")
